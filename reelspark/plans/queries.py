@@ -1,4 +1,321 @@
 """The catalogue operators as queries over the test tables, with the SQL that each must agree with."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import enrich, fmt, text, title
+from ..operators import fulltext, graph, merge, relations, search, stats
+from ..schema import INDEXED, SEARCHED, align
+from ..sources.adapter import ctes, relation
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+UP, LOW = text.UPPER, text.UPPER.lower()
+LABELLED = "file_id IN (SELECT file_id FROM video_labels)"
+INCOMPLETE = (
+    "(coalesce(reviewed_at, '') = '' OR coalesce(editorial_title, '') = '' OR coalesce(main_theme, '') = '' "
+    f"OR (coalesce(speaker, '') = '' AND coalesce(preacher, '') = '') OR NOT {LABELLED})"
+)
+
+
+class Tables:
+    """The relations of one folder, by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return relation(self.spark, self.sf_dir, name)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(name: str, make: Callable[[Tables], DataFrame], sql: str, *uses: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
+    if sql:
+        ORACLE[name] = (ctes(*uses) if uses else "") + sql
+
+
+def find(**request) -> Callable[[Tables], DataFrame]:
+    r = search.SearchRequest(**request)
+    return lambda t: search.matches(align_searched(t.videos), r, t.video_labels, t.label_names).select("file_id", "file_name")
+
+
+def align_searched(videos: DataFrame) -> DataFrame:
+    """videos with the searched columns that the adapter has no source for, empty."""
+    return videos.withColumns({c: F.lit("") for c in (*SEARCHED, *INDEXED) if c not in videos.columns})
+
+
+# ---- summaries and facets
+query("stats_summary", lambda t: stats.summary(t.videos).select("total_videos", "total_size", "total_duration"),
+      "SELECT count(*) AS total_videos, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_size, coalesce(sum(duration_seconds), 0) AS total_duration FROM videos", "videos")
+for _name, _column in (("top_extensions", "file_extension"), ("top_resolutions", "resolution")):
+    query(_name, lambda t, c=_column: stats.top_values(t.videos, c),
+          f"SELECT {_column}, count(*) AS videos FROM videos WHERE coalesce({_column}, '') <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", "videos")
+query("largest_files", lambda t: stats.top_files(t.videos, "file_size"),
+      "SELECT file_id, file_name, file_size FROM videos ORDER BY file_size DESC NULLS LAST, file_id LIMIT 5", "videos")
+query("longest_videos", lambda t: stats.top_files(t.videos, "duration_seconds", known=True),
+      "SELECT file_id, file_name, duration_seconds FROM videos WHERE duration_seconds IS NOT NULL ORDER BY 3 DESC, 1 LIMIT 5", "videos")
+for _name, _column in (("facet_folders", "folder_path"), ("facet_extensions", "file_extension"), ("facet_resolutions", "resolution"), ("facet_drives", "shared_drive_name")):
+    query(_name, lambda t, c=_column: stats.facet(t.videos, c, c), f"SELECT DISTINCT {_column} FROM videos WHERE coalesce({_column}, '') <> ''", "videos")
+query("facet_years", lambda t: stats.years(t.videos), "SELECT DISTINCT substr(modified_at, 1, 4) AS year FROM videos WHERE length(modified_at) >= 4", "videos")
+
+# ---- workflow and tracking
+query("workflow_by_asset", lambda t: stats.workflow_counts(t.videos).where("workflow_stage is null").select("asset_type", "videos"),
+      "SELECT asset_type, count(*) AS videos FROM videos GROUP BY 1", "videos")
+query("workflow_by_stage", lambda t: stats.workflow_counts(t.videos).where("asset_type is null").select("workflow_stage", "videos"),
+      "SELECT workflow_stage, count(*) AS videos FROM videos GROUP BY 1", "videos")
+query("cut_link_counts", lambda t: stats.cut_links(t.videos),
+      "SELECT count(*) FILTER (WHERE asset_type = 'cut' AND coalesce(source_file_id, '') <> '') AS linked_cuts, count(*) FILTER (WHERE asset_type = 'cut' AND coalesce(source_file_id, '') = '') AS unlinked_cuts FROM videos", "videos")
+query("tracking_counts", lambda t: stats.tracking_counts(t.videos, t.video_labels),
+      f"SELECT count(*) FILTER (WHERE coalesce(reviewed_at, '') = '') AS new_videos, count(*) FILTER (WHERE NOT {LABELLED}) AS missing_labels, count(*) FILTER (WHERE asset_type = 'cut' AND coalesce(source_file_id, '') = '') AS unlinked_cuts, count(*) FILTER (WHERE {INCOMPLETE}) AS incomplete FROM videos", "videos", "video_labels")
+
+# ---- search and filters
+HAVE = [c for c in SEARCHED if f" AS {c}" in ctes("videos")]
+
+
+def _like(pattern: str) -> str:
+    return "(" + " OR ".join(f"translate({c}, '{UP}', '{LOW}') LIKE '{pattern}'" for c in HAVE) + " OR file_id IN (SELECT file_id FROM video_labels JOIN label_names ON label_id = id " + f"WHERE translate(name, '{UP}', '{LOW}') LIKE '{pattern}'))"
+
+
+QUERIES["search_text"] = lambda spark, d: _search_text(Tables(spark, d))
+ORACLE["search_text"] = ctes("videos", "video_labels", "label_names") + f"""
+SELECT file_id, file_name, file_size FROM videos WHERE {_like('%the%')} ORDER BY file_size DESC NULLS LAST, file_name, file_id LIMIT 50"""
+
+
+def _search_text(t: Tables) -> DataFrame:
+    r = search.SearchRequest(query="The", sort_by="file_size", sort_dir="desc")
+    return search.search(align_searched(t.videos), r, t.video_labels, t.label_names).select("file_id", "file_name", "file_size")
+
+
+_FILES = "SELECT file_id, file_name FROM videos WHERE "
+for _name, _request, _where in (
+    ("search_label_text", {"query": "oXi"}, _like("%oxi%")),
+    ("search_wildcards", {"query": "s_c1%TAKE"}, _like("%s_c1%take%")),
+    ("filter_folder", {"folder": "/src1/en"}, "folder_path = '/src1/en'"),
+    ("filter_extension", {"extension": ".mkv"}, "file_extension = '.mkv'"),
+    ("filter_resolution", {"resolution": "1280x720"}, "resolution = '1280x720'"),
+    ("filter_year", {"year": "2014"}, "substr(modified_at, 1, 4) = '2014'"),
+    ("filter_drive", {"shared_drive": "Drive fr"}, "shared_drive_name = 'Drive fr'"),
+    ("filter_asset", {"asset_type": "cut"}, "asset_type = 'cut'"),
+    ("filter_stage", {"workflow_stage": "treated"}, "workflow_stage = 'treated'"),
+    ("filter_size_range", {"min_size_mb": 1.5, "max_size_mb": 9}, "file_size >= 1572864 AND file_size <= 9437184"),
+    ("filter_duration_range", {"min_duration_sec": 100, "max_duration_sec": 900.5}, "duration_seconds >= 100 AND duration_seconds <= 900.5"),
+    ("filter_audio_true", {"has_audio": True}, "has_audio"),
+    ("filter_audio_false", {"has_audio": False}, "NOT coalesce(has_audio, false)"),
+    ("track_new", {"tracking": "new"}, "coalesce(reviewed_at, '') = ''"),
+    ("track_missing_labels", {"tracking": "missing_labels"}, f"NOT {LABELLED}"),
+    ("track_unlinked_cut", {"tracking": "unlinked_cut"}, "asset_type = 'cut' AND coalesce(source_file_id, '') = ''"),
+    ("track_incomplete", {"tracking": "incomplete"}, INCOMPLETE),
+    ("videos_with_label", {"label": " TÓXIC "}, "file_id IN (SELECT file_id FROM video_labels WHERE label_id = 2)"),
+    ("filter_all", {"query": "src", "extension": ".mp4", "asset_type": "raw", "has_audio": False, "min_size_mb": 0.1, "tracking": "incomplete"},
+     f"{_like('%src%')} AND file_extension = '.mp4' AND asset_type = 'raw' AND NOT coalesce(has_audio, false) AND file_size >= 104857 AND {INCOMPLETE}"),
+):
+    query(_name, find(**_request), _FILES + _where, "videos", "video_labels", "label_names")
+
+
+def _page(**request) -> Callable[[Tables], DataFrame]:
+    r = search.SearchRequest(**request)
+    return lambda t: search.page_of(t.videos, r).select("file_id", "file_name", "editorial_title")
+
+
+query("search_page_2", _page(page=2, page_size=30, sort_by="duration_seconds"),
+      "SELECT file_id, file_name, editorial_title FROM videos ORDER BY duration_seconds NULLS FIRST, file_name, file_id LIMIT 30 OFFSET 30", "videos")
+query("sort_nocase_title", _page(page_size=200, sort_by="editorial_title", sort_dir="desc"),
+      f"SELECT file_id, file_name, editorial_title FROM videos ORDER BY translate(editorial_title, '{UP}', '{LOW}') DESC NULLS LAST, file_name, file_id LIMIT 200", "videos")
+query("point_lookup", lambda t: t.videos.where("file_id = 'doc-7'").select("file_id", "file_name", "file_size"), "SELECT file_id, file_name, file_size FROM videos WHERE file_id = 'doc-7'", "videos")
+query("modified_map", lambda t: t.videos.select("file_id", F.coalesce("modified_at", F.lit("")).alias("modified_at")), "SELECT file_id, coalesce(modified_at, '') AS modified_at FROM videos", "videos")
+query("match_count", lambda t: search.matches(align_searched(t.videos), search.SearchRequest(query="the"), t.video_labels, t.label_names).agg(F.count("*").alias("total")),
+      f"SELECT count(*) AS total FROM videos WHERE {_like('%the%')}", "videos", "video_labels", "label_names")
+query("raw_options", lambda t: search.raw_options(t.videos, "doc-1"),
+      "SELECT file_id, coalesce(nullif(editorial_title, ''), file_name) AS label FROM videos WHERE asset_type = 'raw' AND file_id <> 'doc-1'", "videos")
+
+# ---- relations
+query("labels_of_videos", lambda t: relations.labels_of(t.video_labels, t.label_names), "SELECT file_id, label_id, name, color FROM video_labels JOIN label_names ON label_id = id", "video_labels", "label_names")
+query("labels_map", lambda t: relations.label_map(t.videos, t.video_labels, t.label_names).select("file_id", F.array_join("labels", "; ").alias("labels")),
+      "SELECT v.file_id, coalesce(string_agg(name, '; ' ORDER BY name), '') AS labels FROM videos v LEFT JOIN (SELECT file_id, name FROM video_labels JOIN label_names ON label_id = id) x ON x.file_id = v.file_id GROUP BY 1", "videos", "video_labels", "label_names")
+query("label_usage", lambda t: relations.label_usage(t.label_names, t.video_labels), "SELECT id, name, count(file_id) AS videos FROM label_names LEFT JOIN video_labels ON label_id = id GROUP BY 1, 2", "video_labels", "label_names")
+query("orphan_labels", lambda t: relations.orphan_labels(t.label_names, t.video_labels).select("id", "name"), "SELECT id, name FROM label_names WHERE id NOT IN (SELECT label_id FROM video_labels)", "video_labels", "label_names")
+query("terms_of_videos", lambda t: relations.terms_of(t.term_bridge, t.terms), "SELECT file_id, category, term, source, confidence, evidence FROM term_bridge JOIN terms ON term_id = id", "terms", "term_bridge")
+query("latest_label_edit", lambda t: relations.latest_edits(t.history).select("file_id", "id", "user_email"),
+      "SELECT h.file_id, h.id, h.user_email FROM history h JOIN (SELECT file_id, max(id) AS id FROM history GROUP BY 1) m ON h.id = m.id", "history")
+query("label_history_top", lambda t: relations.newest(t.history).select("file_id", "id", "user_email", "rank"),
+      "SELECT file_id, id, user_email, CAST(row_number() OVER (PARTITION BY file_id ORDER BY id DESC) AS INT) AS rank FROM history QUALIFY rank <= 20", "history")
+query("related_source", lambda t: relations.sources_of_cuts(t.videos),
+      "SELECT c.file_id, c.source_file_id, r.file_name AS source_name FROM videos c LEFT JOIN videos r ON c.source_file_id = r.file_id WHERE c.asset_type = 'cut' AND c.source_file_id <> ''", "videos")
+query("related_cuts", lambda t: relations.cuts_of_sources(t.videos),
+      "SELECT r.file_id, c.file_id AS cut_id, c.file_name AS cut_name FROM videos r JOIN videos c ON c.source_file_id = r.file_id WHERE r.asset_type = 'raw' AND c.asset_type = 'cut'", "videos")
+query("cuts_at_scale", lambda t: t.read("orders").join(t.read("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("cuts")), F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("cuts", F.lit(0)).cast("long").alias("cuts")),
+      "SELECT o_orderkey, count(l_orderkey) AS cuts FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+query("settings_pivot", lambda t: relations.setting_row(t.settings),
+      "SELECT max(CASE WHEN key = 'drive_folder_id' THEN value END) AS folder_id, max(CASE WHEN key = 'drive_folder_name' THEN value END) AS folder_name, max(CASE WHEN key = 'drive_folder_url' THEN value END) AS folder_url, arg_max(updated_by_email, updated_at || key) AS updated_by_email, max(updated_at) AS updated_at FROM settings WHERE starts_with(key, 'drive_folder')", "settings")
+query("configured_folder", lambda t: relations.configured_folder(t.settings, "https://drive.google.com/drive/folders/ENV?x"), "SELECT coalesce(max(CASE WHEN key = 'drive_folder_id' THEN value END), 'ENV') AS folder_id FROM settings", "settings")
+query("session_user", lambda t: relations.session_users(t.sessions, t.users, "1999-01-01 00:00:00"),
+      "SELECT token_hash, user_id, email FROM sessions JOIN users ON user_id = id WHERE expires_at > '1999-01-01 00:00:00' AND is_active = 1", "sessions", "users")
+query("code_lookup", lambda t: relations.pending_codes(t.users, t.codes, "2024-01-01 00:01:00"),
+      "SELECT id, email, CASE WHEN created_at IS NULL THEN 'none' WHEN expires_at <= '2024-01-01 00:01:00' THEN 'expired' WHEN attempts >= 6 THEN 'exhausted' ELSE 'open' END AS state, CAST(greatest(0, coalesce(60 - (60 - CAST(substr(created_at, 18, 2) AS BIGINT)), 0)) AS BIGINT) AS wait_seconds FROM users LEFT JOIN codes ON id = user_id", "users", "codes")
+query("token_hashes", lambda t: t.users.select("id", F.sha2(F.concat_ws(":", F.col("id").cast("string"), "email"), 256).alias("code_hash"), text.is_email(F.col("email")).alias("valid")),
+      "SELECT id, sha256(CAST(id AS VARCHAR) || ':' || email) AS code_hash, regexp_full_match(email, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+') AS valid FROM users", "users")
+query("folder_paths", lambda t: graph.folder_paths(t.folders),
+      "SELECT id, path, depth FROM (WITH RECURSIVE up(id, path, next, depth) AS (SELECT id, '/' || name, parent_id, 1 FROM folders UNION ALL SELECT up.id, '/' || f.name || up.path, f.parent_id, up.depth + 1 FROM up JOIN folders f ON f.id = up.next) SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth DESC) AS k FROM up) WHERE k = 1", "folders")
+query("folder_rollup", lambda t: graph.rollup_by_folder(t.videos),
+      "SELECT folder, count(*) AS videos, CAST(sum(file_size) AS BIGINT) AS bytes FROM (SELECT '/' || split_part(folder_path, '/', 2) AS folder, file_size FROM videos UNION ALL SELECT folder_path, file_size FROM videos) GROUP BY 1", "videos")
+
+# ---- changes
+query("changed_items", lambda t: merge.changed(
+        t.read("orders").select(F.col("o_orderkey").alias("file_id"), F.when(F.col("o_orderstatus") == "O", "new").otherwise(F.col("o_orderpriority")).alias("modified_at")),
+        t.read("orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderpriority").alias("modified_at"))),
+      "SELECT o_orderkey AS file_id, 'new' AS modified_at FROM orders WHERE o_orderstatus = 'O'")
+
+
+def _upsert(t: Tables) -> DataFrame:
+    v = t.videos.select("file_id", "file_name", "file_size", "editorial_title", "asset_type", "first_seen_at")
+    renamed = v.withColumn("file_id", F.when(F.col("asset_type") == "cut", F.concat(F.lit("new-"), "file_id")).otherwise(F.col("file_id")))
+    incoming = renamed.withColumns({"file_size": F.col("file_size") * 2, "editorial_title": F.lit("incoming"), "asset_type": F.lit("raw")})
+    return merge.upsert(v, incoming, now=F.lit("2024-05-05 00:00:00"))
+
+
+query("upsert_merge", _upsert,
+      "SELECT file_id, file_name, CASE WHEN asset_type = 'cut' THEN file_size ELSE file_size * 2 END AS file_size, editorial_title, asset_type, first_seen_at FROM videos UNION ALL SELECT 'new-' || file_id, file_name, file_size * 2, 'incoming', 'raw', '2024-05-05 00:00:00' FROM videos WHERE asset_type = 'cut'", "videos")
+query("new_internal_ids", lambda t: merge.assign_ids(
+        t.read("orders").select(F.format_string("ord-%d", "o_orderkey").alias("file_id"), F.col("o_orderkey").alias("scan_seq")),
+        t.read("orders").where("o_orderstatus = 'F'").select(F.format_string("ord-%d", "o_orderkey").alias("file_id")), 5000),
+      "SELECT 5000 + row_number() OVER (ORDER BY o_orderkey) AS id, 'ord-' || o_orderkey AS file_id, format('CHR-VID-{:06d}', 5000 + row_number() OVER (ORDER BY o_orderkey)) AS internal_video_id FROM orders WHERE o_orderstatus <> 'F'")
+query("cascade_delete", lambda t: merge.cascade_delete({"videos": t.videos, "video_labels": t.video_labels, "labels": t.label_names}, "doc-1")["videos"].select("file_id", "source_file_id"),
+      "SELECT file_id, CASE WHEN starts_with(source_file_id, 'doc-1') THEN '' ELSE source_file_id END AS source_file_id FROM videos WHERE NOT starts_with(file_id, 'doc-1')", "videos")
+_WANTED = "SELECT DISTINCT 'doc-' || CAST(user_id AS STRING) AS file_id, CASE event_type WHEN 'error' THEN CAST(1 AS BIGINT) WHEN 'click' THEN CAST(3 AS BIGINT) END AS label_id FROM {events}"
+query("label_set_replace", lambda t: merge.replace_labels(t.video_labels, t.spark.sql(_WANTED, events=t.read("events"))),
+      f"SELECT file_id, label_id FROM video_labels WHERE file_id NOT IN (SELECT file_id FROM ({_WANTED.format(events='events')})) UNION ALL SELECT file_id, label_id FROM ({_WANTED.format(events='events')}) WHERE label_id IS NOT NULL", "video_labels")
+query("label_diff", lambda t: merge.label_changes(
+        relations.labels_of(t.video_labels, t.label_names).groupBy("file_id").agg(F.collect_set("name").alias("labels")),
+        t.history.select("file_id", F.initcap("user_email").alias("name")).groupBy("file_id").agg(F.collect_set("name").alias("labels")),
+      ).select("file_id", F.array_join("added", ";").alias("added"), F.array_join("removed", ";").alias("removed")),
+      "SELECT file_id, coalesce(string_agg(name, ';' ORDER BY name) FILTER (WHERE b = 0), '') AS added, coalesce(string_agg(name, ';' ORDER BY name) FILTER (WHERE a = 0), '') AS removed FROM (SELECT file_id, name, max(b) AS b, max(a) AS a FROM (SELECT file_id, name, 1 AS b, 0 AS a FROM video_labels JOIN label_names ON label_id = id UNION ALL SELECT file_id, upper(user_email[1]) || lower(user_email[2:]), 0, 1 FROM history) GROUP BY 1, 2) GROUP BY 1 HAVING max(CASE WHEN a <> b THEN 1 ELSE 0 END) = 1", "video_labels", "label_names", "history")
+query("lexicon_sync", lambda t: merge.manual_terms(t.videos, {"main_theme": "topic", "keywords": "topic", "preacher": "person"}),
+      """, f AS (SELECT file_id, 0 AS ord, 'topic' AS category, 'main_theme' AS evidence, main_theme AS v FROM videos UNION ALL SELECT file_id, 1, 'topic', 'keywords', keywords FROM videos UNION ALL SELECT file_id, 2, 'person', 'preacher', preacher FROM videos),
+      s AS (SELECT file_id, ord, category, evidence, unnest(regexp_split_to_array(coalesce(v, ''), '[\\n|;]')) AS term, unnest(range(len(regexp_split_to_array(coalesce(v, ''), '[\\n|;]')))) AS pos FROM f),
+      k AS (SELECT file_id, ord, pos, category, evidence, trim(term, ' ,') AS term, lower(trim(term, ' ,')) AS key FROM s WHERE trim(term, ' ,') <> '')
+      SELECT file_id, category, key, term, evidence FROM k QUALIFY row_number() OVER (PARTITION BY file_id, category, key ORDER BY ord, pos) = 1""", "videos")
+query("lexicon_dimension", lambda t: merge.get_or_create(
+        t.spark.createDataFrame([(1, "Red Bolt", "red bolt")], "id long, name string, normalized_name string"),
+        t.read("part").select(F.initcap("p_name").alias("name")), text.term_key, 1).select("name", "normalized_name"),
+      "SELECT 'Red Bolt' AS name, 'red bolt' AS normalized_name UNION SELECT list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' '), p_name FROM part")
+
+# ---- formats and fields
+query("fmt_bytes", lambda t: t.videos.select("file_id", fmt.bytes_text(F.col("file_size") * 25).alias("size_text"), fmt.bytes_text(F.floor(F.col("duration_seconds"))).alias("small_text")),
+      """, u AS (SELECT file_id, CAST(file_size AS DOUBLE) * 25 AS x, floor(duration_seconds) AS y FROM videos)
+      SELECT file_id, CASE WHEN x < 1048576 THEN format('{:.1f} KB', x / 1024) WHEN x < 1073741824 THEN format('{:.1f} MB', x / 1048576) ELSE format('{:.1f} GB', x / 1073741824) END AS size_text,
+      CASE WHEN y IS NULL THEN '—' WHEN y < 1024 THEN CAST(CAST(y AS BIGINT) AS VARCHAR) || ' B' ELSE format('{:.1f} KB', y / 1024) END AS small_text FROM u""", "videos")
+query("fmt_duration", lambda t: t.videos.select("file_id", fmt.duration_text(F.col("duration_seconds") * 3).alias("duration_text")),
+      """, u AS (SELECT file_id, CAST(floor(duration_seconds * 3) AS BIGINT) AS s FROM videos)
+      SELECT file_id, CASE WHEN s IS NULL THEN '—' WHEN s >= 3600 THEN format('{}:{:02d}:{:02d}', s // 3600, s % 3600 // 60, s % 60) ELSE format('{}:{:02d}', s // 60, s % 60) END AS duration_text FROM u""", "videos")
+_LINK = "CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://drive.google.com/drive/folders/F' || CAST(page_id AS STRING) || '?usp=s' WHEN 2 THEN 'https://drive.google.com/open?id=G' || CAST(page_id AS STRING) || '&a=1' ELSE 'plain' || CAST(page_id AS STRING) END"
+query("url_folder_id", lambda t: t.read("pages").select("page_id", text.folder_id(F.expr(_LINK)).alias("folder_id")),
+      f"SELECT page_id, CASE WHEN link NOT LIKE '%http%' THEN link WHEN link LIKE '%/folders/%' THEN split_part(split_part(split_part(link, '/folders/', 2), '?', 1), '/', 1) WHEN link LIKE '%id=%' THEN split_part(split_part(link, 'id=', 2), '&', 1) END AS folder_id FROM (SELECT page_id, {_LINK} AS link FROM pages)")
+_PROBE = ["duration_seconds", "resolution", "fps", "video_codec", "audio_codec", "bitrate", "aspect_ratio", "orientation", "has_audio", "container_format"]
+query("probe_fields", lambda t: t.probes.select("id", "line", fmt.probe_fields(F.col("probe")).alias("m")).select("id", "line", *(f"m.{c}" for c in _PROBE)),
+      """, j AS (SELECT id, line, probe, CAST(json_extract(probe, '$.streams[1].width') AS BIGINT) AS w, CAST(json_extract(probe, '$.streams[1].height') AS BIGINT) AS h, json_extract_string(probe, '$.streams[1].avg_frame_rate') AS r FROM probes)
+      SELECT id, line, CAST(json_extract_string(probe, '$.format.duration') AS DOUBLE) AS duration_seconds, w || 'x' || h AS resolution, CASE r WHEN '30000/1001' THEN 29.97::DOUBLE WHEN '25/1' THEN 25::DOUBLE END AS fps, 'h264' AS video_codec, coalesce(json_extract_string(probe, '$.streams[2].codec_name'), '') AS audio_codec, CAST(json_extract_string(probe, '$.format.bit_rate') AS BIGINT) AS bitrate, (w // gcd(w, h)) || ':' || (h // gcd(w, h)) AS aspect_ratio, CASE WHEN h > w THEN 'portrait' ELSE 'landscape' END AS orientation, json_extract(probe, '$.streams[2]') IS NOT NULL AS has_audio, 'mov' AS container_format FROM j""", "probes")
+query("owner_fallback", lambda t: t.videos.select("file_id", text.first_of(F.col("speaker"), F.col("preacher"), F.col("owner")).alias("owner")),
+      "SELECT file_id, coalesce(nullif(speaker, ''), nullif(preacher, ''), owner) AS owner FROM videos", "videos")
+query("event_props", lambda t: t.read("events").select("event_id", F.from_json("props", "k long")["k"].alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+
+# ---- titles
+_T = r""", tk AS (SELECT id, file_name, folder_path, regexp_replace(file_name, '\.[^.]+$', '') AS stem FROM names),
+tt AS (SELECT *, regexp_extract(replace(stem, '__', '_'), '\b(19\d{2}|20\d{2})\b', 1) AS year, list_filter(regexp_split_to_array(replace(stem, '__', '_'), '[_\-.\s]+'), lambda t: t <> '' AND NOT regexp_full_match(t, '(?i)(?:final|v\d+|ver\d+|cut|edit|export|render|x264|x265|h264|h265)')) AS w FROM tk),
+ts AS (SELECT *, list_filter(w[1:4], lambda t: regexp_full_match(t, '\p{L}{3,}') AND regexp_matches(t, '^\p{Lu}')) AS n FROM tt),
+tu AS (SELECT *, CASE WHEN len(n) >= 2 THEN n[1] || ' ' || n[2] WHEN len(n) = 1 AND len(regexp_extract_all(n[1], '[A-Z][a-z]+')) >= 2 THEN array_to_string(regexp_extract_all(n[1], '[A-Z][a-z]+')[1:3], ' ') WHEN len(n) = 1 THEN n[1] ELSE trim(regexp_extract(array_to_string(w, ' '), '\b([A-Z][a-z]+)([A-Z][a-z]+)\b', 1) || ' ' || regexp_extract(array_to_string(w, ' '), '\b([A-Z][a-z]+)([A-Z][a-z]+)\b', 2)) END AS speaker FROM ts),
+fk AS (SELECT id, list_filter(list_transform(regexp_split_to_array(replace(folder_path, '/', ' '), '[_\-.\s]+'), lambda t: lower(t)), lambda t: t NOT IN ('my', 'drive', 'shared', 'with', 'me', 'videos', 'video', 'media') AND len(t) >= 4)[1:10] AS f FROM names)
+"""
+
+
+def _titles(make) -> Callable[[Tables], DataFrame]:
+    return lambda t: make(t.names.withColumn("w", title.tokens(F.col("file_name"))))
+
+
+query("title_tokens", _titles(lambda n: n.select("id", F.array_join("w", "|").alias("tokens"))), _T + "SELECT id, array_to_string(w, '|') AS tokens FROM tt", "names")
+query("title_year", _titles(lambda n: n.select("id", title.year(F.col("file_name")).alias("year"))), _T + "SELECT id, year FROM tt", "names")
+query("normalized_name", _titles(lambda n: n.select("id", title.normalized_name(F.col("w")).alias("normalized_name"))),
+      _T + "SELECT id, trim(regexp_replace(lower(array_to_string(w, ' ')), '[^a-z0-9]+', ' ', 'g')) AS normalized_name FROM tt", "names")
+query("folder_keywords", _titles(lambda n: n.select("id", F.array_join(title.folder_keywords(F.col("folder_path")), "|").alias("f"), F.array_join(title.keywords(F.col("w"), F.col("folder_path")), "|").alias("k"))),
+      _T + "SELECT fk.id, array_to_string(f, '|') AS f, array_to_string(list_sort(list_distinct(list_concat(f, list_filter(list_transform(w, lambda x: lower(x)), lambda x: len(x) >= 4))))[1:25], '|') AS k FROM fk JOIN tt ON tt.id = fk.id", "names")
+query("speaker", _titles(lambda n: n.select("id", title.speaker(F.col("w")).alias("speaker"))), _T + "SELECT id, speaker FROM tu", "names")
+_CASED = "array_to_string(list_transform({0}, lambda x, i: CASE WHEN i > 1 AND lower(x) IN ('and', 'or', 'the', 'a', 'an', 'of', 'to', 'for', 'in', 'on', 'with', 'by') THEN lower(x) ELSE upper(x[1]) || lower(x[2:]) END), ' ')"
+query("clean_title", _titles(lambda n: n.withColumn("s", title.speaker(F.col("w"))).select("id", title.clean_title(F.col("file_name"), F.col("w"), title.year(F.col("file_name")), F.col("s")).alias("title"))),
+      _T + f", tr AS (SELECT *, {_CASED.format('list_filter(w, lambda t: NOT (year <> chr(32) AND t = year) AND NOT list_contains(string_split(lower(speaker), chr(32)), lower(t)))')} AS title FROM tu) SELECT id, CASE WHEN len(title) < 3 THEN " + _CASED.format("list_filter(regexp_split_to_array(replace(replace(stem, '_', ' '), '-', ' '), '\\s+'), lambda t: t <> '')") + " ELSE title END AS title FROM tr", "names")
+
+# ---- rules
+_C = ", cx AS (SELECT id, folder_path, lower(file_name || ' ' || folder_path) AS x, file_name || ' ' || folder_path AS raw FROM names)\n"
+
+
+def _case(rules: dict[str, list[str]]) -> str:
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(x, '{k}')" for k in keys) + f" THEN '{name}'" for name, keys in rules.items()) + " ELSE '' END"
+
+
+def _rules(make) -> Callable[[Tables], DataFrame]:
+    return lambda t: make(t.names.withColumn("x", enrich.context(F.col("file_name"), F.col("folder_path"))))
+
+
+query("theme_rule", _rules(lambda n: n.select("id", enrich.main_theme(F.col("x")).alias("theme"))), _C + f"SELECT id, {_case(enrich.THEMES)} AS theme FROM cx", "names")
+query("teaching_type_rule", _rules(lambda n: n.select("id", enrich.teaching_type(F.col("x")).alias("kind"))), _C + f"SELECT id, {_case(enrich.TEACHING_TYPES)} AS kind FROM cx", "names")
+_TOPICS = "list_filter([" + ", ".join(f"nullif({_case({k: v})}, '')" for k, v in enrich.TOPICS.items()) + "], lambda t: t IS NOT NULL)"
+query("topics", _rules(lambda n: n.select("id", F.array_join(enrich.topics(F.col("x")), "; ").alias("topics"))), _C + f"SELECT id, array_to_string({_TOPICS}, '; ') AS topics FROM cx", "names")
+query("semantic_tags", _rules(lambda n: n.select("id", F.array_join(enrich.semantic_tags(enrich.main_theme(F.col("x")), enrich.teaching_type(F.col("x")), enrich.topics(F.col("x"))), "; ").alias("tags"))),
+      _C + f"SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_concat([{_case(enrich.THEMES)}, {_case(enrich.TEACHING_TYPES)}], {_TOPICS}), lambda t: t <> ''))), '; ') AS tags FROM cx", "names")
+query("bible_refs", lambda t: t.names.select("id", F.array_join(enrich.references(F.concat_ws(" ", "file_name", "folder_path")), "; ").alias("refs")),
+      _C + f", rr AS (SELECT id, regexp_extract_all(raw, '(?i){enrich.REFERENCE}') AS r FROM cx) SELECT id, array_to_string(list_filter(r, lambda v, i: list_position(list_transform(r, lambda y: lower(y)), lower(v)) = i)[1:25], '; ') AS refs FROM rr", "names")
+query("ministry", lambda t: t.names.select("id", F.coalesce(enrich.ministry(F.col("folder_path")), F.lit("")).alias("ministry")), "SELECT id, split_part(folder_path, '/', 2) AS ministry FROM names", "names")
+query("label_key", lambda t: t.read("documents").select("doc_id", text.label_key(F.col("text")).alias("k")),
+      r"SELECT doc_id, trim(regexp_replace(replace(strip_accents(lower(text)), 'ß', 'ss'), '\s+', ' ', 'g')) AS k FROM documents")
+query("term_key", lambda t: t.read("conversations").select("conv_id", "turn", text.term_key(F.col("text")).alias("k")),
+      r"SELECT conv_id, turn, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS k FROM conversations")
+query("duplicate_names", lambda t: t.names.withColumn("w", title.tokens(F.col("file_name"))).groupBy(title.normalized_name(F.col("w")).alias("name")).agg(F.count("*").alias("files"), F.min("id").alias("first")).where("files > 1"),
+      _T + "SELECT trim(regexp_replace(lower(array_to_string(w, ' ')), '[^a-z0-9]+', ' ', 'g')) AS name, count(*) AS files, min(id) AS first FROM tt GROUP BY 1 HAVING count(*) > 1", "names")
+
+# ---- full-text search
+_INDEXED = [c for c in INDEXED if f" AS {c}" in ctes("videos")]
+_I = f""", raw_tok AS (SELECT file_id, unnest([{', '.join(f"{{'field': '{c}', 'text': {c}}}" for c in _INDEXED)}]) AS t FROM videos),
+lists AS (SELECT file_id, t.field AS field, list_filter(regexp_split_to_array(translate(lower(t.text), '{fulltext.MARKED}', '{fulltext.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM raw_tok WHERE coalesce(t.text, '') <> ''),
+tok AS (SELECT file_id, field, unnest(range(len(w))) AS pos, unnest(w) AS token FROM lists)
+"""
+
+
+def _fts(q: str) -> Callable[[Tables], DataFrame]:
+    return lambda t: fulltext.search_index(fulltext.token_index(t.videos), q)
+
+
+def _has(test: str) -> str:
+    return f"SELECT DISTINCT file_id FROM tok WHERE {test}"
+
+
+query("fts_index", lambda t: fulltext.token_index(t.videos).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files")), _I + "SELECT token, count(*) AS n, count(DISTINCT file_id) AS files FROM tok GROUP BY 1", "videos")
+for _name, _query, _sql in (
+    ("fts_and", "the ELAN", f"{_has('token = ' + repr('the'))} INTERSECT {_has('token = ' + repr('elan'))}"),
+    ("fts_or", "elan OR preacher", _has("token IN ('elan', 'preacher')")),
+    ("fts_not", "session NOT (the OR src1)", f"{_has('token = ' + repr('session'))} EXCEPT {_has('token IN (' + repr('the') + ', ' + repr('src1') + ')')}"),
+    ("fts_phrase", '"elan of"', "SELECT DISTINCT a.file_id FROM tok a JOIN tok b ON a.file_id = b.file_id AND a.field = b.field AND b.pos = a.pos + 1 WHERE a.token = 'elan' AND b.token = 'of'"),
+    ("fts_prefix", "sess*", _has("starts_with(token, 'sess')")),
+    ("fts_column", "file_name : take", _has("token = 'take' AND field = 'file_name'")),
+    ("fts_first", "^preacher", _has("token = 'preacher' AND pos = 0")),
+    ("fts_near", "NEAR(src1 take, 2)", "SELECT DISTINCT a.file_id FROM tok a JOIN tok b ON a.file_id = b.file_id AND a.field = b.field WHERE a.token = 'src1' AND b.token = 'take' AND (b.pos - a.pos BETWEEN 0 AND 3 OR a.pos - b.pos BETWEEN 0 AND 3)"),
+):
+    query(_name, _fts(_query), _I + _sql, "videos")
+
+# ---- completeness and decoration
+_DONE = (
+    f"CAST(coalesce(reviewed_at, '') <> '' AS INT) + CAST(trim(coalesce(editorial_title, '')) <> '' AS INT) + CAST(trim(coalesce(main_theme, '')) <> '' AS INT) "
+    f"+ CAST(trim(coalesce(nullif(speaker, ''), preacher, '')) <> '' AS INT) + CAST({LABELLED} AS INT)"
+)
+query("completeness", lambda t: stats.completeness(t.videos, t.video_labels).select("file_id", "completed", "total", "status"),
+      f", c AS (SELECT file_id, {_DONE} AS completed FROM videos) SELECT file_id, completed, 5 AS total, CASE WHEN completed = 5 THEN 'complete' WHEN completed <= 1 THEN 'missing' ELSE 'partial' END AS status FROM c", "videos", "video_labels")
+query("video_page_decorated", lambda t: relations.decorated(search.page_of(t.videos, search.SearchRequest(sort_by="file_size", sort_dir="desc")), t.video_labels, t.label_names, t.history).select("file_id", "completed", F.array_join("labels", ";").alias("labels"), "last_edit_by", "is_new"),
+      f""", p AS (SELECT * FROM videos ORDER BY file_size DESC, file_name, file_id LIMIT 50), e AS (SELECT file_id, arg_max(user_email, id) AS by FROM history GROUP BY 1), n AS (SELECT file_id, string_agg(name, ';' ORDER BY name) AS names FROM video_labels JOIN label_names ON label_id = id GROUP BY 1)
+      SELECT p.file_id, {_DONE.replace('file_id IN', 'p.file_id IN')} AS completed, coalesce(names, '') AS labels, e.by AS last_edit_by, coalesce(reviewed_at, '') = '' AS is_new FROM p LEFT JOIN e ON e.file_id = p.file_id LEFT JOIN n ON n.file_id = p.file_id""", "videos", "video_labels", "label_names", "history")
+query("aligned_catalogue", lambda t: align(t.videos, fill=True).select("file_id", "editorial_title", "speaker", "scan_status", "owner", "bitrate"),
+      "SELECT file_id, coalesce(editorial_title, '') AS editorial_title, coalesce(speaker, '') AS speaker, 'indexed' AS scan_status, owner, CAST(NULL AS BIGINT) AS bitrate FROM videos", "videos")
