@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, stash
 
 ship(__name__)
 
@@ -82,7 +82,8 @@ def with_drops(docs: DataFrame, least: int = 20, documents: int = 3) -> DataFram
     """docs (with doc_id and text) and drop, the keys of the lines that each row loses."""
     keys = line_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least)
     common = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= documents)
-    held = keys.join(common.select("key", "last"), "key")
+    common = stash(common.select("key", "last"), "common")  # a plain side, so that the join can split a hot line's rows
+    held = keys.join(common, "key")
     drops = held.where(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("doc_id").agg(F.collect_set("key").alias("_drop"))
     named = drops.withColumnRenamed("doc_id", "_id")
     return docs.join(named, docs["doc_id"].eqNullSafe(named["_id"]), "left").drop("_id")

@@ -127,7 +127,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = stash(rooted, "rooted")
+    named = stash(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
     named = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
