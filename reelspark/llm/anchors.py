@@ -220,10 +220,10 @@ def repeated(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     key."""
     runs = stash(runs, "runs")
     often = runs.groupBy("v").agg(F.count("*").alias("c"), F.max("again").alias("again")).where("c > 1 or again").select("v")
-    cand = stash(runs.join(often, "v"), "candidates")
+    cand = stash(runs.join(stash(often, "often"), "v"), "candidates")  # plain sides: a hot anchor's rows can be split
     one = cand.groupBy("v", "h").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("k1", "k2", "start", "n")).alias("one"))
     classes = stash(one.select("v", "h", "copies", "again", "one.*"), "classes")
-    sizes = classes.groupBy("v").agg(F.count("*").alias("classes"))
+    sizes = stash(classes.groupBy("v").agg(F.count("*").alias("classes")), "sizes")
     return cand, classes.join(sizes, "v")
 
 
