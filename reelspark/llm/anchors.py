@@ -285,9 +285,9 @@ def merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def spans(cand: DataFrame, whole: DataFrame, partial: DataFrame) -> DataFrame:
     """(k1, k2, spans array<struct<a, b>>): per document, its removed windows as half-open intervals. whole:
     (v, h, keep) classes of which every run but those of document keep (null: every run) goes entirely;
-    partial: (v, h, parts) with the removed windows of the others' runs."""
+    partial: (v, h, owner, parts) with the removed windows of the runs of document owner."""
     full = cand.join(whole, ["v", "h"]).where("keep is null or k1 > keep").select("k1", "k2", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
-    part = cand.join(partial, ["v", "h"]).select("k1", "k2", "start", F.explode("parts").alias("p"))
+    part = cand.join(partial, ["v", "h"]).where("k1 = owner").select("k1", "k2", "start", F.explode("parts").alias("p"))
     part = part.select("k1", "k2", (F.col("start") + F.col("p.a")).alias("a"), (F.col("start") + F.col("p.b")).alias("b"))
     return full.union(part).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
@@ -302,6 +302,12 @@ def parts_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), parts], names=["v", "h", "parts"])
 
 
+def _merge_parts(batches):
+    for b in batches:
+        parts = [merged([(x["a"], x["b"]) for x in p]) for p in b.column(2).to_pylist()]
+        yield parts_batch(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), parts, strict=True)))
+
+
 def removed(base: DataFrame, find, slice_of, search, window: int, gram: int, ranked: bool, hot: int, batch: int) -> DataFrame:
     """(k1, k2, spans): the windows of each document that occur elsewhere, or, ranked, in one of smaller k1.
 
@@ -331,8 +337,9 @@ def removed(base: DataFrame, find, slice_of, search, window: int, gram: int, ran
         again = removed(deep.drop("v", "h"), find, slice_of, search, window, min(2 * gram, window), ranked, hot, batch)
         names = deep.select("v", "h", F.col("k1").alias("w1"), F.col("k2").alias("w2"))
         found = again.join(names, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")))
-        partial = partial.union(found.select("v", "h", F.col("spans").alias("parts")))
-    return spans(cand, whole, stash(partial, "parts"))
+        partial = partial.union(found.select("v", "h", F.col("spans").alias("parts")).mapInArrow(_merge_parts, PARTS))
+    owners = classes.where(F.lit(ranked) | (F.col("copies") == 1)).select("v", "h", F.col("k1").alias("owner"))
+    return spans(cand, whole, stash(stash(partial, "parts").join(owners, ["v", "h"]), "owned"))
 
 
 def cut(base: DataFrame, gone: DataFrame, run, schema: str) -> DataFrame:
