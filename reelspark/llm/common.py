@@ -60,6 +60,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def trim() -> None:
+    """Give memory that a finished partition has freed back to the system: Python workers live on."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def local_path(uri: str) -> str | None:
     """The plain path of a file: URI or bare path; None for other stores."""
     if uri.startswith("file:"):

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stash
+from .common import ship, stash, trim
 
 ship(__name__)
 
@@ -34,6 +34,7 @@ def line_keys(docs: DataFrame, least: int = 20) -> DataFrame:
                 keys.extend(found)
                 ids.extend([i] * len(found))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "key"])
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, key binary")
 
@@ -61,6 +62,7 @@ def drop_lines(docs: DataFrame, least: int = 20):
             columns[at] = pa.array(texts, b.schema.field(at).type)
             names = [*b.schema.names[:-1], "n_lines", "n_dropped"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=names)
+        trim()
 
     return run
 

@@ -9,6 +9,7 @@ the sentences that explain it, and the fitted model then locates the offending s
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -18,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, trim
 
 ship(__name__)
 
 SLOTS = 1 << 18
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 TOKEN = re.compile(r"\w+|[.!?\n]+")
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+|$)")
 #: The fit's bounds: labelled documents, and characters of one of them.
@@ -83,7 +84,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 80, least: int = 10,
     if not len(texts) or not toxic.any():
         return Model(np.zeros(SLOTS, np.float32), -30.0)
     names: dict[str, int] = {}
-    words, lengths, bag = [], [], []
+    words, lengths, bag = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         n = 0
         for t in TOKEN.findall((text or "").lower()):
@@ -99,7 +100,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 80, least: int = 10,
             lengths.append(n)
             bag.append(d)
     where = np.array([slots(w) for w in names] or np.zeros((0, 3)), np.int64).reshape(-1, 3)
-    words, lengths, bag = np.array(words, np.int32), np.array(lengths), np.array(bag)
+    words, lengths, bag = (np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in (words, lengths, bag))
     sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     pairs = np.unique(bag[sentence].astype(np.int64) * len(names) + words) if len(words) else np.zeros(0, np.int64)
     seen = np.zeros(SLOTS, np.int64)
@@ -146,7 +147,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, chars:
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").where(F.length("text") <= chars).join(known, "doc_id")
     got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
-    return fit([r.text for r in got], np.array([int(r.toxic) for r in got]))
+    model = fit([r.text for r in got], np.array([int(r.toxic) for r in got]))
+    del got
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,6 +164,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             p = np.fromiter((mine.score(t.as_py()) for t in b.column(1)), np.float64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], names=["doc_id", "score"])
+        del mine
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
@@ -192,5 +198,7 @@ def clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         mine = Model(*held.value)
         for b in batches:
             yield b.filter(pa.array([mine.score(t.as_py()) < least for t in b.column(at)], pa.bool_()))
+        del mine
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
