@@ -121,5 +121,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, id_col: str = "
     best = matched.groupBy("host", "path").agg(
         F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "found"), F.struct(size, F.length("rule_host"))).alias("best")
     )
-    joined = rows.join(stash(best, "matches"), ["host", "path"], "left")
+    best = stash(best, "matches").hint("merge")  # grows with the pages, and its files' size says little of its size in memory
+    joined = rows.join(best, ["host", "path"], "left")
     return joined.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.found", F.lit(default)).alias("verdict"))
