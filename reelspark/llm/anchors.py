@@ -86,19 +86,25 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def word_stretches(text: bytes, window: int) -> Iterator[tuple[int, bytes]]:
-    """(number of the first word, bytes) of stretches that overlap by window - 1 words."""
-    at, first = 0, 0
+    """(number of the first word, bytes) of stretches that overlap by window - 1 words. A stretch that holds words
+    grows until it holds a whole window or the text ends, so each begins after the one before."""
+    at, first, size = 0, 0, STRETCH
     while True:
-        end = at + STRETCH
+        end = at + size
         while end < len(text) and not SPACE[text[end]]:
             end += 1
-        yield first, text[at:end]
         if end >= len(text):
+            yield first, text[at:]
             return
         starts, _ = word_bounds(np.frombuffer(text, np.uint8, end - at, at))
+        if 0 < len(starts) < window:
+            size = 2 * (end - at)
+            continue
+        yield first, text[at:end]
         back = min(window - 1, len(starts))
         first += len(starts) - back
         at = at + int(starts[len(starts) - back]) if back else end
+        size = STRETCH
 
 
 def cut_runs(keys: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
