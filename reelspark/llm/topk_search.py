@@ -76,11 +76,13 @@ def _search(wave, k: int):
                 columns = np.ascontiguousarray(np.array(some["v"].tolist(), np.int64).reshape(len(some), size).T)
                 left = (columns.astype(np.float64) ** 2).sum(axis=0)
                 vec = some["vec_id"].to_numpy()
+                rows_of = dict(zip(*(x.tolist() for x in np.unique(vec, return_counts=True)), strict=True))
                 for i in wanted:
                     mine = best.setdefault(i, [])
                     own = ids.value[i]
                     floor = -mine[-1][0] if len(mine) == k else None
-                    at, score = bond(rows.value[i], columns, left, k + 1, floor)
+                    # the bound must leave room for every row of the query's own id
+                    at, score = bond(rows.value[i], columns, left, k + rows_of.get(own, 0), floor)
                     order = np.lexsort((vec[at], -score))
                     new = [(-int(score[j]), int(vec[at[j]])) for j in order[: 2 * k + 2] if vec[at[j]] != own]
                     if len(order) > 2 * k + 2 and len(new) < k:  # the query's id repeats many times

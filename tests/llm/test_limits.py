@@ -2,7 +2,10 @@
 
 import random
 
-from reelspark.llm import anchors
+import numpy as np
+from pyspark.sql import functions as F
+
+from reelspark.llm import anchors, topk_search
 
 
 def test_a_word_longer_than_a_stretch(monkeypatch):
@@ -20,3 +23,19 @@ def test_a_word_longer_than_a_stretch(monkeypatch):
     runs = anchors.word_runs([text], 50, 10)
     seen = sorted(int(s) + k for part in runs for s, n in zip(*part[1:3], strict=True) for k in range(n))
     assert seen == list(range(len(words) + 1 - 49))
+
+
+def test_top_k_of_an_id_on_many_rows(spark):
+    rng = random.Random(2)
+    rows = [(0, [10.0] * 8 + [0.0] * 24)] * 9  # the query's own id, each better than any other
+    rows += [(i, [float(100 - i) / 20] * 8 + [0.0] * 24) for i in range(1, 60)]
+    rows += [(100, [rng.random() for _ in range(32)]), (100, [9.0] * 8 + [0.0] * 24), (100, [9.0] * 8 + [0.0] * 24)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = sorted(tuple(r) for r in topk_search.top_k(df, F.col("vec_id") % 100 == 0).collect())
+    vectors = [(i, np.floor(256 * np.array(np.float32(v), float)).astype(int)) for i, v in rows]
+    want = []
+    for q in (0, 100):
+        asks = min(tuple(v) for i, v in vectors if i == q)
+        best = sorted((-int(np.array(asks) @ v), i) for i, v in vectors if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
