@@ -113,3 +113,19 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("a", "r")
         if not moved:
             return labels.select(F.col("a").alias("node"), F.col("r").alias("root"))
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each group: rows (doc_id, k, root) names the group root of every row of docs, k being
+    xxhash64 of its text. The row of the least (doc_id, k) stays; rows without an id stay."""
+    rows = stash(rows, "groups")
+    names = rows.where("doc_id is not null").groupBy("root", "doc_id", "k").agg(F.count("*").alias("_rows"))
+    least = names.groupBy("root").agg(F.min(F.struct("doc_id", "k", "_rows")).alias("m"))
+    least = stash(least.select(F.col("m.doc_id").alias("_kept"), F.col("m.k").alias("_k"), F.col("m._rows").alias("_rows")), "least")
+    kept = docs.join(least, (F.col(id_col).cast("long") == F.col("_kept")) & (F.xxhash64(text_col) == F.col("_k")))
+    out = kept.where("_rows = 1").select(*docs.columns)
+    if least.where("_rows > 1").limit(1).count():
+        out = out.unionByName(kept.where("_rows > 1").dropDuplicates(["_kept", "_k"]).select(*docs.columns))
+    if rows.where("doc_id is null").limit(1).count():
+        out = out.unionByName(docs.where(F.col(id_col).cast("long").isNull()))
+    return out
