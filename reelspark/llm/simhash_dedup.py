@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, ship, stash, trim
+from .common import components, one_of_each, ship, stash, trim
 
 ship(__name__)
 
@@ -45,18 +45,20 @@ def simhash(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) for every row; a null or empty text has fingerprint zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, fp long) for every row; a null or empty text has fingerprint zero. hashed: k, xxhash64 of the
+    text, too."""
+    names = ["doc_id", "fp", "k"][: 2 + hashed]
 
     def run(batches):
         for b in batches:
             texts = b.column(1).cast(pa.large_binary())
             fps = np.fromiter((simhash(t.as_py()) for t in texts), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names=names)
         trim()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("k")]
+    return docs.select(rows[: 2 + hashed]).mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def _signed(x: int) -> int:
@@ -123,12 +125,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are ignored. An empty table gives no rows.
     """
     prints = stash(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(classes.select("fp"), most))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = stash(rooted, "rooted")
+    rooted = _rooted(prints, most)
     named = stash(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
     named = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
@@ -136,15 +133,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _rooted(prints: DataFrame, most: int) -> DataFrame:
+    """(fp, first, root): each distinct fingerprint with its least id and its component."""
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = components(links(classes.select("fp"), most))
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+    return stash(rooted, "rooted")
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2) -> DataFrame:
     """docs without near duplicates: of each component the row with the smallest id stays (of rows that
-    repeat this id, one); rows without an id stay."""
-    near = stash(near_dedup(docs, id_col, text_col, most), "near")
-    keep = near.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_kept")
-    kept = docs.join(keep, F.col(id_col).cast("long") == F.col("_kept"))
-    out = kept.where("_rows = 1").select(*docs.columns)
-    if keep.where("_rows > 1").limit(1).count():
-        out = out.unionByName(kept.where("_rows > 1").dropDuplicates(["_kept"]).select(*docs.columns))
-    if near.where("doc_id is null").limit(1).count():
-        out = out.unionByName(docs.where(F.col(id_col).isNull()))
-    return out
+    repeat this id, the least by a hash of the text); rows without an id stay."""
+    prints = stash(fingerprints(docs, id_col, text_col, hashed=True), "fingerprints")
+    rows = prints.join(_rooted(prints, most), "fp").select("doc_id", "k", "root")
+    return one_of_each(docs, rows, id_col, text_col)

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from reelspark.llm import anchors, topk_search
+from reelspark.llm import anchors, decontam, near_copies, simhash_dedup, topk_search
 
 
 def test_a_word_longer_than_a_stretch(monkeypatch):
@@ -39,3 +40,12 @@ def test_top_k_of_an_id_on_many_rows(spark):
         best = sorted((-int(np.array(asks) @ v), i) for i, v in vectors if i != q)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("op", [near_copies.representatives, simhash_dedup.representatives])
+def test_rows_of_one_id_are_apart(spark, op):
+    texts = {x: " ".join(f"{x}{i}" for i in range(30)) for x in "abc"}
+    rows = [(1, texts["a"]), (1, texts["b"]), (1, texts["b"]), (2, texts["a"]), (2, texts["c"]), (None, texts["c"])]
+    got = op(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, texts["a"]), (1, texts["b"]), (2, texts["c"]), (None, texts["c"])]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
