@@ -89,8 +89,11 @@ def _runs(w: Column, width: int) -> Column:
     return F.array_distinct(F.when(n >= width, runs).when(n > 0, F.array(F.concat_ws(" ", w))).otherwise(F.array().cast("array<string>")))
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that contain an item; all columns stay."""
-    leaks = contained(docs, items, id_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the rows whose text contains an item; all columns stay. Rows are told apart by id and a hash of
+    the text, so rows that share an id, or have none, are judged each by its own text."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    leaks = contained(docs.select(key.alias("_key"), text_col), items, "_key", text_col, **options)
+    leaks = leaks.select(F.col("doc_id.id").alias("_leak"), F.col("doc_id.text").alias("_hash")).distinct()
     leaks = stash(leaks, "leaks")
-    return docs.join(leaks, docs[id_col].eqNullSafe(leaks["_leak"]), "left_anti")
+    return docs.join(leaks, docs[id_col].eqNullSafe(leaks["_leak"]) & (F.xxhash64(docs[text_col]) == leaks["_hash"]), "left_anti")

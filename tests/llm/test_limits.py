@@ -49,3 +49,11 @@ def test_rows_of_one_id_are_apart(spark, op):
     got = op(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(1, texts["a"]), (1, texts["b"]), (2, texts["c"]), (None, texts["c"])]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_only_the_leaking_rows_of_an_id_go(spark):
+    texts = {x: " ".join(f"{x}{i}" for i in range(30)) for x in "abcd"}
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, None), (1, texts["a"]), (1, texts["b"]), (1, texts["a"]), (2, texts["c"])]
+    items = spark.createDataFrame([(0, texts["a"]), (1, texts["d"])], "item_id long, text string")
+    got = decontam.clean(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([r for r in rows if r[1] != texts["a"]], key=str)
