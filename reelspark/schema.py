@@ -6,17 +6,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Column names, defaults and enums of the catalogue.
-TEXT = (
-    "file_id file_name internal_video_id drive_url folder_path parent_folder shared_drive_name owner mime_type "
-    "file_extension created_at modified_at clean_title editorial_title original_title alternate_titles "
-    "normalized_name speaker preacher ministry worship_leaders main_theme spiritual_themes doctrine_topics "
-    "biblical_topics bible_references songs keywords semantic_tags content_type event_name event_date location "
-    "language audience series_name session_number teaching_type ai_summary transcript_status "
-    "transcript_text_path transcript_summary manual_notes metadata_source metadata_updated_at asset_type "
-    "workflow_stage source_file_id workflow_notes workflow_updated_at first_seen_at reviewed_at resolution "
-    "video_codec audio_codec aspect_ratio orientation container_format scan_status last_scanned_at error_message"
-).split()
+# Fixed values, down to SORTS: column names and groups, defaults and enums of the catalogue.
+TEXT = [
+    "file_id",
+    "file_name",
+    "internal_video_id",
+    "drive_url",
+    "folder_path",
+    "parent_folder",
+    "shared_drive_name",
+    "owner",
+    "mime_type",
+    "file_extension",
+    "created_at",
+    "modified_at",
+    "clean_title",
+    "editorial_title",
+    "original_title",
+    "alternate_titles",
+    "normalized_name",
+    "speaker",
+    "preacher",
+    "ministry",
+    "worship_leaders",
+    "main_theme",
+    "spiritual_themes",
+    "doctrine_topics",
+    "biblical_topics",
+    "bible_references",
+    "songs",
+    "keywords",
+    "semantic_tags",
+    "content_type",
+    "event_name",
+    "event_date",
+    "location",
+    "language",
+    "audience",
+    "series_name",
+    "session_number",
+    "teaching_type",
+    "ai_summary",
+    "transcript_status",
+    "transcript_text_path",
+    "transcript_summary",
+    "manual_notes",
+    "metadata_source",
+    "metadata_updated_at",
+    "asset_type",
+    "workflow_stage",
+    "source_file_id",
+    "workflow_notes",
+    "workflow_updated_at",
+    "first_seen_at",
+    "reviewed_at",
+    "resolution",
+    "video_codec",
+    "audio_codec",
+    "aspect_ratio",
+    "orientation",
+    "container_format",
+    "scan_status",
+    "last_scanned_at",
+    "error_message",
+]
 LONGS = ["file_size", "width", "height", "bitrate"]
 DOUBLES = ["metadata_confidence", "duration_seconds", "fps"]
 DEFAULTS = {"asset_type": "raw", "workflow_stage": "digitized", "scan_status": "indexed", "file_size": 0}
@@ -24,28 +77,107 @@ ASSET_TYPES = ["raw", "cut"]
 STAGES = ["digitized", "to_review", "transcribed", "treated", "ready_edit", "published"]
 
 #: Columns that editors own.
-EDITABLE = (
-    "editorial_title original_title alternate_titles clean_title normalized_name speaker preacher ministry "
-    "main_theme spiritual_themes doctrine_topics biblical_topics bible_references songs worship_leaders "
-    "content_type event_name event_date location language audience series_name session_number teaching_type "
-    "ai_summary transcript_status transcript_text_path transcript_summary manual_notes metadata_source "
-    "metadata_confidence keywords semantic_tags"
-).split()
+EDITABLE = [
+    "editorial_title",
+    "original_title",
+    "alternate_titles",
+    "clean_title",
+    "normalized_name",
+    "speaker",
+    "preacher",
+    "ministry",
+    "main_theme",
+    "spiritual_themes",
+    "doctrine_topics",
+    "biblical_topics",
+    "bible_references",
+    "songs",
+    "worship_leaders",
+    "content_type",
+    "event_name",
+    "event_date",
+    "location",
+    "language",
+    "audience",
+    "series_name",
+    "session_number",
+    "teaching_type",
+    "ai_summary",
+    "transcript_status",
+    "transcript_text_path",
+    "transcript_summary",
+    "manual_notes",
+    "metadata_source",
+    "metadata_confidence",
+    "keywords",
+    "semantic_tags",
+]
 #: Columns that a rescan leaves alone.
-PROTECTED = [*EDITABLE, *"internal_video_id asset_type workflow_stage source_file_id workflow_notes workflow_updated_at first_seen_at reviewed_at".split()]
+PROTECTED = [
+    *EDITABLE,
+    "internal_video_id",
+    "asset_type",
+    "workflow_stage",
+    "source_file_id",
+    "workflow_notes",
+    "workflow_updated_at",
+    "first_seen_at",
+    "reviewed_at",
+]
 #: Columns that the text filter looks in.
-SEARCHED = (
-    "file_name folder_path parent_folder owner editorial_title original_title alternate_titles clean_title speaker "
-    "preacher ministry main_theme spiritual_themes doctrine_topics biblical_topics bible_references songs "
-    "content_type event_name transcript_summary keywords semantic_tags"
-).split()
+SEARCHED = [
+    "file_name",
+    "folder_path",
+    "parent_folder",
+    "owner",
+    "editorial_title",
+    "original_title",
+    "alternate_titles",
+    "clean_title",
+    "speaker",
+    "preacher",
+    "ministry",
+    "main_theme",
+    "spiritual_themes",
+    "doctrine_topics",
+    "biblical_topics",
+    "bible_references",
+    "songs",
+    "content_type",
+    "event_name",
+    "transcript_summary",
+    "keywords",
+    "semantic_tags",
+]
 #: Columns of the full-text index.
-INDEXED = (
-    "file_name folder_path internal_video_id editorial_title original_title alternate_titles clean_title speaker "
-    "preacher ministry main_theme spiritual_themes doctrine_topics biblical_topics bible_references songs "
-    "worship_leaders content_type event_name location series_name teaching_type transcript_summary ai_summary "
-    "keywords semantic_tags"
-).split()
+INDEXED = [
+    "file_name",
+    "folder_path",
+    "internal_video_id",
+    "editorial_title",
+    "original_title",
+    "alternate_titles",
+    "clean_title",
+    "speaker",
+    "preacher",
+    "ministry",
+    "main_theme",
+    "spiritual_themes",
+    "doctrine_topics",
+    "biblical_topics",
+    "bible_references",
+    "songs",
+    "worship_leaders",
+    "content_type",
+    "event_name",
+    "location",
+    "series_name",
+    "teaching_type",
+    "transcript_summary",
+    "ai_summary",
+    "keywords",
+    "semantic_tags",
+]
 #: Sortable columns; True: ASCII case doesn't count.
 SORTS = {
     "file_name": True, "folder_path": True, "file_size": False, "duration_seconds": False, "modified_at": False,
