@@ -16,12 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stash
+from .common import discard, portions, ship, stash, trim
 
 ship(__name__)
 
 #: Longest stretch of a text that is handled at once, and longest run, in bytes and windows.
 STRETCH, LONGEST = 1 << 20, 1024
+#: Bytes of runs that a searching task gets on average.
+TASK_BYTES = 8 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 BASE_BYTE, BASE_WORD = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
@@ -130,8 +132,13 @@ def again(grams: np.ndarray, keys: np.ndarray, at: np.ndarray, sizes: np.ndarray
     return passed[at + sizes - 1] > passed[at]
 
 
+def digests(view: memoryview, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+    """The 128-bit digests of stretches of bytes, by which copies of a run are known."""
+    return [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+
+
 def word_runs(texts: list[bytes], window: int, gram: int):
-    """(text number, first word, windows, key, content hash, again()) arrays of all runs of all texts."""
+    """(text number, first word, windows, bytes, key, digest, again()) arrays of all runs of all texts."""
     held, size, out = [], 0, []
 
     def flush():
@@ -144,13 +151,11 @@ def word_runs(texts: list[bytes], window: int, gram: int):
         which = np.searchsorted(first, np.arange(len(keys)), "right") - 1
         valid = np.arange(len(keys)) + window <= first[which + 1] if len(keys) else np.zeros(0, bool)
         at, sizes = cut_runs(keys, valid)
-        view = memoryview(data)
         if len(at):
             lo, hi = starts[at], ends[at + sizes + window - 2]
-            h = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(at))
             w = which[at]
             texts_at, firsts = np.array([x[0] for x in held]), np.array([x[1] for x in held])
-            out.append((texts_at[w], firsts[w] + at - first[w], sizes, keys[at].view(np.int64), h.view(np.int64), again(grams, keys, at, sizes)))
+            out.append((texts_at[w], firsts[w] + at - first[w], sizes, hi - lo, keys[at].view(np.int64), digests(memoryview(data), lo, hi), again(grams, keys, at, sizes)))
 
     for i, text in enumerate(texts):
         for first, part in word_stretches(text, window):
@@ -176,13 +181,11 @@ def byte_runs(texts: list[bytes], window: int, gram: int):
         which = np.repeat(np.arange(len(held)), np.diff(edge))[: len(keys)]
         valid = np.arange(len(keys)) + window <= edge[which + 1]
         at, sizes = cut_runs(keys, valid)
-        view = memoryview(data)
         if len(at):
             hi = at + sizes + window - 1
-            h = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(at.tolist(), hi.tolist(), strict=True)), np.uint64, len(at))
             w = which[at]
             texts_at, firsts = np.array([x[0] for x in held]), np.array([x[1] for x in held])
-            out.append((texts_at[w], firsts[w] + at - edge[w], sizes, keys[at].view(np.int64), h.view(np.int64), again(grams, keys, at, sizes)))
+            out.append((texts_at[w], firsts[w] + at - edge[w], sizes, hi - at, keys[at].view(np.int64), digests(memoryview(data), at, hi), again(grams, keys, at, sizes)))
 
     for i, text in enumerate(texts):
         for at in range(0, max(1, len(text) - window + 1), STRETCH):
@@ -206,73 +209,82 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def all_runs(base: DataFrame, find, window: int, gram: int) -> DataFrame:
-    """(k1, k2, start, n, v, h, again) of every run of every row of keyed()."""
+    """(k1, k2, start, n, size, v, h, again) of every run of every row of keyed()."""
     least = window if find is byte_runs else 2 * window - 1
+    names = ["k1", "k2", "start", "n", "size", "v", "h", "again"]
 
     def run(batches):
-        for b in batches:
-            k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
-            texts = [t.as_py() or b"" for t in b.column(3).cast(pa.large_binary())]
-            for i, start, n, v, h, twice in find(texts, window, gram):
-                columns = [k1[i], k2[i], start.astype(np.int64), n.astype(np.int32), v, h, twice]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k1", "k2", "start", "n", "v", "h", "again"])
+        for whole in batches:
+            for b in portions(whole, 3):
+                k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+                texts = [t.as_py() or b"" for t in b.column(3).cast(pa.large_binary())]
+                for i, start, n, size, v, h, twice in find(texts, window, gram):
+                    columns = [k1[i], k2[i], start.astype(np.int64), n.astype(np.int32), size.astype(np.int64), v, h, twice]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+        trim()
 
-    return base.where(F.octet_length("text") >= least).mapInArrow(run, "k1 long, k2 long, start long, n int, v long, h long, again boolean")
+    return base.where(F.octet_length("text") >= least).mapInArrow(run, "k1 long, k2 long, start long, n int, size long, v long, h binary, again boolean")
 
 
 def repeated(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Runs whose anchor occurs more than once, and their classes:
-    (v, h, copies, again, k1, k2, start, n, classes), the run of a class that is named being that of the least
-    key."""
+    """Runs whose anchor occurs more than once, and their classes: (v, h, copies, again, k1, k2, start, n, size,
+    classes, bytes), the run of a class that is named being that of the least key; classes and bytes are those of
+    the whole anchor."""
     runs = stash(runs, "runs")
     often = runs.groupBy("v").agg(F.count("*").alias("c"), F.max("again").alias("again")).where("c > 1 or again").select("v")
-    cand = stash(runs.join(stash(often, "often"), "v"), "candidates")  # plain sides: a hot anchor's rows can be split
-    one = cand.groupBy("v", "h").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("k1", "k2", "start", "n")).alias("one"))
+    often = stash(often, "often")
+    cand = stash(runs.join(often, "v"), "candidates")  # plain sides: a hot anchor's rows can be split
+    discard(runs, often)
+    one = cand.groupBy("v", "h").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("k1", "k2", "start", "n", "size")).alias("one"))
     classes = stash(one.select("v", "h", "copies", "again", "one.*"), "classes")
-    sizes = stash(classes.groupBy("v").agg(F.count("*").alias("classes")), "sizes")
-    return cand, classes.join(sizes, "v")
+    sizes = stash(classes.groupBy("v").agg(F.count("*").alias("classes"), F.sum("size").alias("bytes")), "sizes")
+    grouped = stash(classes.join(sizes, "v"), "grouped")
+    discard(classes, sizes)
+    return cand, grouped
 
 
 def fetched(base: DataFrame, classes: DataFrame, slice_of) -> DataFrame:
-    """(v, h, copies, k1, n, classes, body binary): classes with the content of their named run, taken from
-    the texts by slice_of(text) -> (start, n) -> bytes."""
-    wanted = classes.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "v", "h", "copies", "classes")).alias("wanted"))
-    rows = base.join(wanted.withColumnsRenamed({"k1": "w1", "k2": "w2"}), (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")), "left")
-    rows = rows.select("k1", "k2", "doc_id", "text", "wanted")
+    """(v, h, copies, k1, bytes, body binary): classes with the content of their named run, taken from the texts by
+    slice_of(text) -> (start, n) -> bytes."""
+    wanted = classes.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "v", "h", "copies", "bytes")).alias("wanted"))
+    rows = base.join(wanted.withColumnsRenamed({"k1": "w1", "k2": "w2"}), (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")))
+    rows = rows.select("k1", "k2", "text", "wanted")
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = ["v", "h", "copies", "k1", "bytes", "body"]
 
     def run(batches):
-        for b in batches:
-            out, seen = [], set()
-            for k1, k2, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).cast(pa.large_binary()), b.column(4), strict=True):
-                wanted = wanted.as_py()
-                if wanted and (k1, k2) not in seen:
-                    seen.add((k1, k2))
-                    cut = slice_of(text.as_py() or b"")
-                    out.extend((x["v"], x["h"], x["copies"], k1, x["n"], x["classes"], cut(x["start"], x["n"])) for x in wanted)
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            names = ["v", "h", "copies", "k1", "n", "classes", "body"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
-
-    return rows.mapInArrow(run, "v long, h long, copies long, k1 long, n int, classes long, body binary")
+        seen: set = set()
+        for whole in batches:
+            for b in portions(whole, 2):
+                out = []
+                for k1, k2, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary()), b.column(3), strict=True):
+                    if seen != (k1, k2):  # rows that are equal throughout lie together, as the join sorts them
+                        seen = (k1, k2)
+                        cut = slice_of(text.as_py() or b"")
+                        out.extend((x["v"], x["h"], x["copies"], k1, x["bytes"], cut(x["start"], x["n"])) for x in wanted.as_py())
+                columns = list(zip(*out, strict=True)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+        trim()
+
+    return rows.mapInArrow(run, "v long, h binary, copies long, k1 long, bytes long, body binary")
 
 
 def groups(batches, most: int) -> Iterator[dict[str, list]]:
     """Rows sorted by v, in pieces of whole v groups of at least ``most`` bytes of body."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for b in batches:
-        if b.num_rows:
+    for whole in batches:
+        for b in portions(whole, whole.schema.get_field_index("body"), most):
             held.append(b)
             size += b.column("body").nbytes
-        if size >= most:
-            table = pa.Table.from_batches(held)
-            v = table.column("v").to_numpy()
-            end = int(np.flatnonzero(v != v[-1])[-1]) + 1 if v[0] != v[-1] else 0
-            if end:
-                yield table.slice(0, end).to_pydict()
-                rest = table.slice(end).combine_chunks()
-                held, size = rest.to_batches(), rest.nbytes
+            if size >= most:
+                table = pa.Table.from_batches(held)
+                v = table.column("v").to_numpy()
+                end = int(np.flatnonzero(v != v[-1])[-1]) + 1 if v[0] != v[-1] else 0
+                if end:
+                    yield table.slice(0, end).to_pydict()
+                    rest = table.slice(end).combine_chunks()
+                    held, size = rest.to_batches(), rest.nbytes
     if held:
         yield pa.Table.from_batches(held).to_pydict()
 
@@ -288,64 +300,75 @@ def merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def spans(cand: DataFrame, whole: DataFrame, partial: DataFrame) -> DataFrame:
-    """(k1, k2, spans array<struct<a, b>>): per document, its removed windows as half-open intervals. whole:
-    (v, h, keep) classes of which every run but those of document keep (null: every run) goes entirely;
-    partial: (v, h, owner, parts) with the removed windows of the runs of document owner."""
-    full = cand.join(whole, ["v", "h"]).where("keep is null or k1 > keep").select("k1", "k2", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
-    part = cand.join(partial, ["v", "h"]).where("k1 = owner").select("k1", "k2", "start", F.explode("parts").alias("p"))
-    part = part.select("k1", "k2", (F.col("start") + F.col("p.a")).alias("a"), (F.col("start") + F.col("p.b")).alias("b"))
-    return full.union(part).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-
-
-PARTS = "v long, h long, parts array<struct<a: long, b: long>>"
+#: A class's repeated windows as half-open intervals: those of its named run, and those of its other copies.
+FOUND = "v long, h binary, parts array<struct<a: long, b: long>>, rest array<struct<a: long, b: long>>"
+_INTERVALS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def parts_batch(rows) -> pa.RecordBatch:
-    """Rows (v, h, [(a, b)]) as a batch of PARTS."""
-    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    parts = pa.array([[{"a": a, "b": b} for a, b in r[2]] for r in rows], kind)
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), parts], names=["v", "h", "parts"])
+def _found_batch(rows: list) -> pa.RecordBatch:
+    """Rows (v, h, [(a, b)], [(a, b)]) as a batch of FOUND."""
+    listed = [pa.array([[{"a": a, "b": b} for a, b in r[k]] for r in rows], _INTERVALS) for k in (2, 3)]
+    arrays = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), *listed]
+    return pa.RecordBatch.from_arrays(arrays, names=["v", "h", "parts", "rest"])
 
 
-def _merge_parts(batches):
+def _merge_found(batches):
+    """Columns of FOUND with the intervals of each row merged."""
+    joined = lambda p: merged([(x["a"], x["b"]) for x in p])
     for b in batches:
-        parts = [merged([(x["a"], x["b"]) for x in p]) for p in b.column(2).to_pylist()]
-        yield parts_batch(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), parts, strict=True)))
+        v, h, parts, rest = (b.column(i).to_pylist() for i in range(4))
+        yield _found_batch(list(zip(v, h, map(joined, parts), map(joined, rest), strict=True)))
 
 
-def removed(base: DataFrame, find, slice_of, search, window: int, gram: int, ranked: bool, hot: int, batch: int) -> DataFrame:
-    """(k1, k2, spans): the windows of each document that occur elsewhere, or, ranked, in one of smaller k1.
+def removed(base: DataFrame, find, slice_of, search, window: int, gram: int, ranked: bool, room: int, batch: int) -> DataFrame:
+    """(k1, k2, spans array<struct<a, b>>): the windows of each document that occur elsewhere, or, ranked, in one of
+    smaller k1. Every one is found by ``search`` in a group's structure, that of copies of a run as well: a class
+    stands there once, with the number of its copies.
 
-    search(columns of whole groups, gram) yields (v, h, intervals) for classes of one copy (ranked: for the
-    named run of any class). An anchor with more than ``hot`` classes isn't searched in one task: its classes
-    go through the same steps with anchors of twice the length, until those are the windows themselves and
-    counting decides; so groups stay memory-sized however common a passage is.
+    search(columns of whole groups, gram) yields (v, h, parts, rest) for classes with repeated windows. An anchor
+    whose classes hold more than ``room`` bytes isn't searched in one task: its classes go through the same steps
+    with anchors of twice the length, at last with the windows themselves, which make groups of one class; so
+    groups stay memory-sized however common a passage is.
     """
     cand, classes = repeated(all_runs(base, find, window, gram))
-    classes = stash(classes, "grouped")
-    keep = F.col("k1") if ranked else F.lit(None).cast("long")
-    whole = classes.where("copies > 1").select("v", "h", keep.alias("keep"))
-    limit = hot if gram < window else 1 << 62
-    many = classes.where(F.col("classes") > limit)
-    any_hot = many.limit(1).count() > 0
-    bodies = fetched(base, classes.where(F.col("classes") > 1 if ranked else F.expr("classes > 1 or again and copies = 1")), slice_of)
-    bodies = stash(bodies, "bodies") if any_hot else bodies
+    few = F.lit(gram == window) | (F.col("bytes") <= room) | (F.col("classes") == 1)
+    several = F.col("classes") > 1
+    any_hot = gram < window and classes.where(~few).limit(1).count() > 0
+    wanted = several | (F.col("copies") > 1) if ranked else several | (F.col("copies") > 1) | F.col("again")
+    bodies = stash(fetched(base, classes.where(wanted).withColumn("bytes", F.when(few, 0).otherwise(F.col("bytes"))), slice_of), "bodies")
+    total = classes.where(wanted & few).agg(F.sum("size")).first()[0] or 0
+    parts = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES + 1)
 
     def run(batches):
         for g in groups(batches, batch):
-            yield parts_batch(list(search(g, gram)))
+            yield _found_batch(list(search(g, gram)))
+        trim()
 
-    dealt = bodies.where(F.col("classes") <= limit).repartition("v").sortWithinPartitions("v")
-    partial = dealt.mapInArrow(run, PARTS)
+    dealt = bodies.where("bytes = 0").drop("bytes").repartition(parts, "v").sortWithinPartitions("v")
+    found = dealt.mapInArrow(run, FOUND)
     if any_hot:
-        deep = bodies.where(F.col("classes") > limit).select("k1", F.xxhash64("v", "h").alias("k2"), F.col("k1").alias("doc_id"), F.col("body").alias("text"), "v", "h")
-        again = removed(deep.drop("v", "h"), find, slice_of, search, window, min(2 * gram, window), ranked, hot, batch)
-        names = deep.select("v", "h", F.col("k1").alias("w1"), F.col("k2").alias("w2"))
-        found = again.join(names, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")))
-        partial = partial.union(found.select("v", "h", F.col("spans").alias("parts")).mapInArrow(_merge_parts, PARTS))
-    owners = classes.where(F.lit(ranked) | (F.col("copies") == 1)).select("v", "h", F.col("k1").alias("owner"))
-    return spans(cand, whole, stash(stash(partial, "parts").join(owners, ["v", "h"]), "owned"))
+        hot = bodies.where("bytes > 0")
+        deep = hot.select("k1", F.xxhash64("v", "h").alias("k2"), F.col("k1").alias("doc_id"), F.col("body").alias("text"))
+        again = removed(deep, find, slice_of, search, window, min(2 * gram, window), ranked, room, batch)
+        names = hot.select("v", "h", "copies", F.col("k1").alias("w1"), F.xxhash64("v", "h").alias("w2"))
+        kept = names.join(again, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")), "left")
+        kept = kept.join(classes.select("v", "h", "n"), ["v", "h"])
+        every = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b")))
+        none = F.array().cast("array<struct<a: long, b: long>>")
+        twice = F.col("copies") > 1  # such a class's windows stand in several places, whatever else holds them
+        spans = F.coalesce("spans", none)
+        kept = kept.select("v", "h", F.when(twice, every).otherwise(spans).alias("parts") if not ranked else spans.alias("parts"), F.when(twice, every).otherwise(none).alias("rest"))
+        found = found.union(kept.mapInArrow(_merge_found, FOUND))
+    found = stash(found, "found")
+    owned = found.join(classes.select("v", "h", F.struct("k1", "k2", "start").alias("named")), ["v", "h"])
+    owned = stash(owned, "owned")
+    here = cand.select("v", "h", "k1", "k2", "start").join(owned, ["v", "h"])
+    mine = F.col("k1") == F.col("named.k1") if ranked else F.struct("k1", "k2", "start") == F.col("named")
+    spans = here.select("k1", "k2", "start", F.explode(F.when(mine, F.col("parts")).otherwise(F.col("rest"))).alias("p"))
+    spans = spans.select("k1", "k2", (F.col("start") + F.col("p.a")).alias("a"), (F.col("start") + F.col("p.b")).alias("b"))
+    spans = stash(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    discard(cand, classes, bodies, found, owned)
+    return spans
 
 
 def cut(base: DataFrame, gone: DataFrame, run, schema: str) -> DataFrame:

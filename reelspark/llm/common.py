@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -25,18 +26,22 @@ ship(__name__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, one of our own, but only
+    for a local master, whose executors are in this process; else that's an error."""
     context = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not at:
         held = context._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="reelspark-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared folder."""
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -44,15 +49,29 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, deleted when the driver's Python ends if nothing did so before."""
+    path = f"{shared_dir(spark)}/reelspark-{what}-{uuid.uuid4().hex}"
+    atexit.register(forget, spark, path)
+    return path
+
+
 def stash(df: DataFrame, what: str) -> DataFrame:
     """Write df once to the shared folder as Parquet and read it back: cuts lineage, survives lost executors,
-    and gives the planner true sizes. The files go when the driver's Python ends."""
+    and gives the planner true sizes. The files go by discard(), or when the driver's Python ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/reelspark-{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
     spark._jvm.System.gc()  # Spark frees the shuffle files of finished jobs when their plans are collected
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of stashed frames that no later step reads."""
+    for df in frames:
+        forget(df.sparkSession, df._stashed_at)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -75,6 +94,20 @@ def trim() -> None:
         pass
 
 
+def portions(batch, column: int, most: int = 4 << 20):
+    """The batch in slices whose ``column`` (text or binary) holds about ``most`` bytes, or one row: what is made
+    of a slice is then bounded by bytes, however many or long the rows of an Arrow batch are."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def local_path(uri: str) -> str | None:
     """The plain path of a file: URI or bare path; None for other stores."""
     if uri.startswith("file:"):
@@ -117,15 +150,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with one row of each group: rows (doc_id, k, root) names the group root of every row of docs, k being
-    xxhash64 of its text. The row of the least (doc_id, k) stays; rows without an id stay."""
+    xxhash64 of its text. The row of the least (doc_id, k) stays; rows without an id stay. The columns of docs travel
+    as one struct, so none can clash with ours."""
     rows = stash(rows, "groups")
-    names = rows.where("doc_id is not null").groupBy("root", "doc_id", "k").agg(F.count("*").alias("_rows"))
-    least = names.groupBy("root").agg(F.min(F.struct("doc_id", "k", "_rows")).alias("m"))
-    least = stash(least.select(F.col("m.doc_id").alias("_kept"), F.col("m.k").alias("_k"), F.col("m._rows").alias("_rows")), "least")
-    kept = docs.join(least, (F.col(id_col).cast("long") == F.col("_kept")) & (F.xxhash64(text_col) == F.col("_k")))
-    out = kept.where("_rows = 1").select(*docs.columns)
-    if least.where("_rows > 1").limit(1).count():
-        out = out.unionByName(kept.where("_rows > 1").dropDuplicates(["_kept", "_k"]).select(*docs.columns))
+    names = rows.where("doc_id is not null").groupBy("root", "doc_id", "k").agg(F.count("*").alias("rows"))
+    least = names.groupBy("root").agg(F.min(F.struct("doc_id", "k", "rows")).alias("m"))
+    least = stash(least.select(F.col("m.doc_id").alias("kept"), F.col("m.k").alias("kept_k"), F.col("m.rows").alias("rows")), "least")
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("i"), F.xxhash64(docs[text_col]).alias("k"))
+    kept = packed.join(least, (F.col("i") == F.col("kept")) & (F.col("k") == F.col("kept_k")))
+    out = kept.where("rows = 1").select("row")
+    if least.where("rows > 1").limit(1).count():
+        out = out.unionByName(kept.where("rows > 1").groupBy("kept", "kept_k").agg(F.first("row").alias("row")).select("row"))
     if rows.where("doc_id is null").limit(1).count():
-        out = out.unionByName(docs.where(F.col(id_col).cast("long").isNull()))
-    return out
+        out = out.unionByName(packed.where("i is null").select("row"))
+    return out.select("row.*")

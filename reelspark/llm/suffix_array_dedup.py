@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .anchors import BASE_BYTE, byte_runs, cut, gram_hashes, keyed, merged, removed
-from .common import ship
+from .common import portions, ship, trim
 
 ship(__name__)
 
@@ -135,7 +135,7 @@ def bytes_slice(window: int):
 
 def _search(window: int):
     def search(g, gram):
-        bodies, v = g["body"], np.array(g["v"], np.int64)
+        bodies, v, copies = g["body"], np.array(g["v"], np.int64), g["copies"]
         n = len(bodies)
         data = np.frombuffer(b"".join(bodies), np.uint8).astype(np.uint64) + np.uint64(1)
         edge = np.cumsum([0] + [len(b) for b in bodies])
@@ -149,43 +149,49 @@ def _search(window: int):
         ends = np.flatnonzero(np.diff(v[b])) + 1
         for bs, ps in zip(np.split(b, ends), np.split(p, ends), strict=True):
             found = repeats(bodies, list(zip(bs.tolist(), ps.tolist(), strict=True)), window, gram) if len(bs) > 1 else {}
-            for i, x in found.items():
-                if g["copies"][i] == 1:
-                    yield g["v"][i], g["h"][i], x
+            for i in dict.fromkeys(bs.tolist()):
+                if copies[i] > 1:  # a suffix of several copies stands in the array as often: all its windows repeat
+                    every = [(0, len(bodies[i]) - window + 1)]
+                    yield g["v"][i], g["h"][i], every, every
+                elif i in found:
+                    yield g["v"][i], g["h"][i], found[i], []
 
     return search
 
 
 def _cut(window: int):
     def run(batches):
-        for b in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for i, text, gone in zip(b.column(2).to_pylist(), b.column(3).cast(pa.large_binary()), b.column(4), strict=True):
-                text, gone = text.as_py() or b"", gone.as_py() or []
-                parts, at = [], 0
-                taken = merged([(x["a"], x["b"] + window - 1) for x in gone])
-                for lo, hi in taken:
-                    parts.append(text[at:lo])
-                    at = hi
-                parts.append(text[at:])
-                kept = b"".join(parts)
-                for to, x in zip(out, (i, kept, len(text), len(text) - len(kept), len(taken)), strict=True):
-                    to.append(x)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            names = ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        names = ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"]
+        for whole in batches:
+            for b in portions(whole, 3):
+                out: list[list] = [[] for _ in names]
+                for i, text, gone in zip(b.column(2).to_pylist(), b.column(3).cast(pa.large_binary()), b.column(4), strict=True):
+                    text, gone = text.as_py() or b"", gone.as_py() or []
+                    parts, at = [], 0
+                    taken = merged([(x["a"], x["b"] + window - 1) for x in gone])
+                    for lo, hi in taken:
+                        parts.append(text[at:lo])
+                        at = hi
+                    parts.append(text[at:])
+                    kept = b"".join(parts)
+                    for to, x in zip(out, (i, kept, len(text), len(text) - len(kept), len(taken)), strict=True):
+                        to.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+        trim()
 
     return run
 
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = 64, hot: int = 256, batch: int = 4 << 20) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = 64, room: int = 1 << 17, batch: int = 1 << 20) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans) for every row of docs: its UTF-8 bytes without those
     covered by a window of bytes that also starts anywhere else, the same row included.
 
     Nulls: a null text is empty; a null id changes nothing, as ids play no part. Each row is a text of its own,
     so a repeated row of at least ``window`` bytes goes entirely. kept may cut through characters, hence
-    binary. Other columns are ignored. An empty table gives no rows.
+    binary. Very long texts are read in stretches, whole. Other columns are ignored, whatever their names. An empty
+    table gives no rows. room: the bytes of a group of suffixes beyond which it is split.
     """
     base = keyed(docs, id_col, text_col)
-    gone = removed(base, byte_runs, bytes_slice(window), _search(window), window, gram, False, hot, batch)
+    gone = removed(base, byte_runs, bytes_slice(window), _search(window), window, gram, False, room, batch)
     return cut(base, gone, _cut(window), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")

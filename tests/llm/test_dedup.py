@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from brute import components, simhash, substring_dedup, suffix_dedup
 
@@ -93,24 +94,45 @@ def test_line_dedup(spark):
     assert got[None] == ("", 1, 1)
 
 
-@pytest.mark.parametrize(("seed", "window", "gram", "hot"), [(1, 50, 10, 256), (2, 12, 4, 256), (3, 12, 3, 1), (4, 7, 7, 2)])
-def test_substring_dedup_equals_brute_force(spark, seed, window, gram, hot):
+@pytest.mark.parametrize(("seed", "window", "gram", "room"), [(1, 50, 10, 1 << 17), (2, 12, 4, 1 << 17), (3, 12, 3, 1), (4, 7, 7, 300), (5, 14, 3, 2000)])
+def test_substring_dedup_equals_brute_force(spark, seed, window, gram, room):
     rows = cases(seed)
-    got = sub.substring_dedup(frame(spark, rows), window=window, gram=gram, hot=hot).collect()
+    got = sub.substring_dedup(frame(spark, rows), window=window, gram=gram, room=room).collect()
     want = substring_dedup(rows, window)
     key = lambda x: (x[0] is None, x[0] or 0, x[1:])
     assert sorted(((r.doc_id, r.n_words, r.text, r.n_removed) for r in got), key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize(("seed", "window", "gram", "hot"), [(1, 400, 64, 256), (2, 60, 16, 256), (3, 50, 8, 1), (4, 41, 5, 3)])
-def test_suffix_array_dedup_equals_brute_force(spark, seed, window, gram, hot):
+@pytest.mark.parametrize(("seed", "window", "gram", "room"), [(1, 400, 64, 1 << 17), (2, 60, 16, 1 << 17), (3, 50, 8, 1), (4, 41, 5, 500)])
+def test_suffix_array_dedup_equals_brute_force(spark, seed, window, gram, room):
     rows = cases(seed)
-    got = suf.suffix_array_dedup(frame(spark, rows), window=window, gram=gram, hot=hot).collect()
+    got = suf.suffix_array_dedup(frame(spark, rows), window=window, gram=gram, room=room).collect()
     want = suffix_dedup(rows, window)
     key = lambda x: (x[0] is None, x[0] or 0, x[1:])
     assert sorted(((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in got), key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize(("op", "module", "window"), [(sub.substring_dedup, sub, 12), (suf.suffix_array_dedup, suf, 60)])
+def test_every_removal_is_found_by_the_structure(spark, monkeypatch, op, module, window):
+    """Without what trees or arrays report nothing goes, copies neither."""
+    monkeypatch.setattr(module, "_search", lambda window: lambda g, gram: iter(()))
+    assert {r.n_removed for r in op(frame(spark, cases(6)), window=window, gram=4).collect()} == {0}
+
+
+def test_suffix_tree():
+    rng = random.Random(11)
+    rows = np.array([[1 + i % 2] + [rng.randint(1, 2) for _ in range(7)] for i in range(60)])
+    tree = sub.SuffixTree(rows)
+    assert [tuple(rows[i]) for i in tree.order] == sorted(map(tuple, rows))
+    for least in range(1, 9):
+        node = tree.nodes_at(tree.leaf, least)
+        deep = tree.depth[node] >= least
+        for i in range(60):
+            others = [j for j in range(60) if j != i and (rows[i][:least] == rows[j][:least]).all()]
+            assert bool(others) == bool(deep[i])
+            assert [j for j in range(60) if j != i and deep[j] and node[j] == node[i]] == others or not deep[i]
+
+
 def test_stretches_of_long_texts(monkeypatch):
     from reelspark.llm import anchors
 
