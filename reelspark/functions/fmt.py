@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DASH = "—"
@@ -34,10 +34,12 @@ def duration_text(c: Column) -> Column:
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor of two positive longs: Euclid in at most 92 steps, as numbers of 63 bits need."""
+    """Greatest common divisor of two positive longs by Euclid: in 24 steps for numbers of 16 bits, as sizes of pictures
+    are, else in the 92 that 63 bits need."""
     start = F.struct(a.alias("a"), b.alias("b"))
+    steps = F.when(F.greatest(a, b) < 1 << 16, 24).otherwise(92)
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["a"])
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["a"])
 
 
 PROBE = (
@@ -46,25 +48,32 @@ PROBE = (
 )
 
 
-def probe_fields(json: Column) -> Column:
-    """The catalogue's media columns of a probe document, as a struct."""
-    doc = F.from_json(json, PROBE)
-    streams = F.coalesce(doc["streams"], F.array())
-    of = lambda kind: F.get(F.filter(streams, lambda s: s["codec_type"] == kind), F.lit(0))
-    video, audio, form = of("video"), of("audio"), doc["format"]
+def parsed(rows: DataFrame, json: Column, name: str = "media") -> DataFrame:
+    """rows with the catalogue's media columns of a probe document, as a struct. Parsing and arithmetic stand in
+    generators over one element, which no projection is pushed through, so each is done once a row."""
+    of = lambda doc, kind: F.get(F.filter(F.coalesce(doc["streams"], F.array()), lambda s: s["codec_type"] == kind), F.lit(0))
+    parts = F.transform(F.array(F.from_json(json, PROBE)), lambda doc: F.struct(of(doc, "video").alias("video"), of(doc, "audio").alias("audio"), doc["format"].alias("format")))
+    once = rows.select("*", F.explode(parts).alias(name))
+    fields = F.transform(F.array(F.col(name)), media_fields)
+    return once.select(*rows.columns, F.explode(fields).alias(name))
+
+
+def media_fields(doc: Column) -> Column:
+    """The media columns of (video, audio, format), as a struct."""
+    video, audio, form = doc["video"], doc["audio"], doc["format"]
     w, h = video["width"], video["height"]
     sized = (w > 0) & (h > 0)
     rate = F.when(F.coalesce(video["avg_frame_rate"], F.lit("")) != "", video["avg_frame_rate"]).otherwise(video["r_frame_rate"])
     den = F.try_element_at(F.split(rate, "/", 2), F.lit(2)).try_cast("double")
     fps = F.when(rate.contains("/") & (den != 0), F.bround(F.split(rate, "/", 2)[0].try_cast("double") / den, 2))
     text = lambda c: F.coalesce(c, F.lit(""))
-    g = gcd(w, h)
+    ratio = F.transform(F.array(gcd(w, h)), lambda g: F.concat_ws(":", (w / g).cast("long").cast("string"), (h / g).cast("long").cast("string")))
     return F.struct(
         form["duration"].try_cast("double").alias("duration_seconds"), w.alias("width"), h.alias("height"),
         F.when(sized, F.concat_ws("x", w.cast("string"), h.cast("string"))).otherwise("").alias("resolution"),
         fps.alias("fps"), text(video["codec_name"]).alias("video_codec"), text(audio["codec_name"]).alias("audio_codec"),
         form["bit_rate"].try_cast("long").alias("bitrate"),
-        F.when(sized, F.concat_ws(":", (w / g).cast("long").cast("string"), (h / g).cast("long").cast("string"))).otherwise("").alias("aspect_ratio"),
+        F.when(sized, F.get(ratio, F.lit(0))).otherwise("").alias("aspect_ratio"),
         F.when(sized, F.when(h > w, "portrait").otherwise("landscape")).otherwise("").alias("orientation"),
         audio.isNotNull().alias("has_audio"), text(form["format_name"]).alias("container_format"),
     )

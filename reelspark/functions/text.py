@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import sys
 import unicodedata
 
@@ -37,6 +36,11 @@ def first_of(*columns: Column) -> Column:
     return F.coalesce(*(F.when(~is_blank(c), c) for c in columns), F.lit(""))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def collapse(c: Column) -> Column:
     """Trimmed, runs of white space as one space."""
     return F.btrim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -85,7 +89,7 @@ def split_terms(c: Column) -> Column:
 
 
 def is_email(c: Column) -> Column:
-    return F.lower(F.btrim(c)).rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")
+    return email_key(c).rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")
 
 
 def folder_id(c: Column) -> Column:
@@ -101,6 +105,6 @@ def safe_name(c: Column) -> Column:
     return F.regexp_replace(c, r"[^A-Za-z0-9._-]", "_")
 
 
-def escaped(text: str) -> str:
-    """A literal for use inside a regular expression."""
-    return re.escape(text)
+def email_key(c: Column) -> Column:
+    """An e-mail address as accounts are told apart by."""
+    return F.lower(stripped(c))

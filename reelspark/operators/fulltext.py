@@ -1,8 +1,9 @@
 """Full-text search: a token index and its query language.
 
 Words in a row must all occur, in any columns; OR, NOT and parentheses, "phrases", word*, column:term,
-NEAR(a b, n) and ^first narrow it down. Every node of a query is a set of file ids: AND is a semi-join, OR a
-union, NOT an anti-join, and phrases and NEAR are one grouped pass over the positions of their words.
+NEAR(a b, n) and ^first narrow it down. A query reads the index once: the words of all its phrases are picked by
+token, shifted to their phrase's start and counted there; what phrases a file has is then one small set, on which
+AND, OR and NOT are decided. NEAR looks ahead from each occurrence by a window over its field's hits.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import INDEXED
@@ -46,6 +47,11 @@ def refresh(index: DataFrame, changed: DataFrame) -> DataFrame:
     return index.join(changed.select("file_id"), "file_id", "left_anti").unionByName(token_index(changed))
 
 
+def backfill(index: DataFrame, videos: DataFrame) -> DataFrame:
+    """index with the tokens of the files that it has none of."""
+    return index.unionByName(token_index(videos.join(index.select("file_id"), "file_id", "left_anti")))
+
+
 @dataclass
 class Phrase:
     words: list[str]
@@ -155,56 +161,83 @@ class Parser:
         return Phrase(words, prefix=self.take("*"), first=first, column=column)
 
 
-def starts(index: DataFrame, p: Phrase) -> DataFrame:
-    """(file_id, field, start) of a phrase's occurrences: its words are found by token, shifted to the phrase's
-    start and counted there."""
-    rows = index.where(F.col("field") == p.column) if p.column else index
-    if not p.words:
-        return rows.where("false").select("file_id", "field", F.col("pos").alias("start"))
-    tests = []
-    for k, w in enumerate(p.words):
-        hit = F.col("token").startswith(w) if p.prefix and k == len(p.words) - 1 else F.col("token") == w
-        tests.append(F.when(hit, F.struct(F.lit(k).alias("k"), (F.col("pos") - k).alias("start"))))
-    hits = rows.select("file_id", "field", F.explode(F.array_compact(F.array(*tests))).alias("h")).select("file_id", "field", "h.*")
-    found = hits if len(p.words) == 1 else hits.groupBy("file_id", "field", "start").agg(F.count_distinct("k").alias("n")).where(F.col("n") == len(p.words))
-    return (found.where("start = 0") if p.first else found).select("file_id", "field", "start")
-
-
-def _near(index: DataFrame, p: Phrase) -> DataFrame:
-    """Files in which every part occurs in one field with at most ``near`` words between its first and last."""
-    every = None
-    for k, part in enumerate(p.parts):
-        part.column = part.column or p.column
-        rows = starts(index, part).select("file_id", "field", F.struct("start", F.lit(k).alias("k"), (F.col("start") + len(part.words)).alias("end")).alias("o"))
-        every = rows if every is None else every.union(rows)
-    sets = every.groupBy("file_id", "field").agg(F.collect_list("o").alias("found"))
-
-    def after(first: Column, k: int) -> Column:
-        return F.filter("found", lambda x: (x["k"] == k) & (x["start"] >= first["start"]))
-
-    def fits(first: Column) -> Column:
-        """Whether every part has an occurrence from here on, the farthest of the nearest ones close enough."""
-        nearest = [F.array_min(F.transform(after(first, k), lambda x: x["start"])) for k in range(len(p.parts))]
-        here = F.lit(True)
-        for c in nearest:
-            here = here & c.isNotNull()
-        return here & (F.greatest(*nearest, F.lit(-1)) - first["end"] <= p.near)
-
-    return sets.where(F.exists("found", fits)).select("file_id").distinct()
-
-
-def _files(index: DataFrame, node) -> DataFrame:
+def _phrases(node, out: list[Phrase]) -> list[Phrase]:
+    """All phrases of a query that occurrences are looked for, NEAR's parts too."""
+    if isinstance(node, Phrase):
+        if node.near is None:
+            out.append(node)
+        else:
+            for part in node.parts:
+                part.column = part.column or node.column
+                out.append(part)
+    else:
+        _phrases(node[1], out)
+        _phrases(node[2], out)
+    return out
+
+
+def _nears(node, out: list[Phrase]) -> list[Phrase]:
     if isinstance(node, Phrase):
-        return _near(index, node) if node.near is not None else starts(index, node).select("file_id").distinct()
-    kind, a, b = node
-    left, right = _files(index, a), _files(index, b)
-    if kind == "or":
-        return left.union(right).distinct()
-    return left.join(right, "file_id", "left_semi" if kind == "and" else "left_anti")
+        return out + [node] if node.near is not None else out
+    return _nears(node[2], _nears(node[1], out))
+
+
+def occurrences(index: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """(file_id, field, phrase, start) of all occurrences of all phrases, from one pass over the index."""
+    tests, wanted = [], F.lit(False)
+    for n, p in enumerate(phrases):
+        here = F.col("field") == p.column if p.column else F.lit(True)
+        for k, w in enumerate(p.words):
+            hit = F.col("token").startswith(w) if p.prefix and k == len(p.words) - 1 else F.col("token") == w
+            wanted = wanted | hit
+            start = F.col("pos") - k
+            hit = hit & here & (start == 0) if p.first else hit & here
+            tests.append(F.when(hit, F.struct(F.lit(n).alias("phrase"), F.lit(k).alias("k"), start.alias("start"))))
+    if not tests:
+        return index.where("false").select("file_id", "field", F.lit(0).alias("phrase"), F.col("pos").alias("start"))
+    hits = index.where(wanted).select("file_id", "field", F.explode(F.array_compact(F.array(*tests))).alias("h")).select("file_id", "field", "h.*")
+    if all(len(p.words) < 2 for p in phrases):
+        return hits.select("file_id", "field", "phrase", "start")
+    sizes = F.element_at(F.array(*(F.lit(len(p.words)) for p in phrases)), F.col("phrase") + 1)
+    whole = hits.groupBy("file_id", "field", "phrase", "start").agg(F.count_distinct("k").alias("n"))
+    return whole.where(F.col("n") == sizes).select("file_id", "field", "phrase", "start")
+
+
+def near_files(found: DataFrame, near: Phrase, numbers: list[int], sizes: list[int]) -> DataFrame:
+    """(file_id) in which every part occurs in one field with at most ``near.near`` words between its first and last:
+    from every occurrence, the nearest one of each part at or after it."""
+    rows = found.where(F.col("phrase").isin(numbers))
+    ahead = Window.partitionBy("file_id", "field").orderBy("start").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    nearest = [F.min(F.when(F.col("phrase") == n, F.col("start"))).over(ahead).alias(f"at{n}") for n in numbers]
+    end = F.col("start") + F.element_at(F.array(*(F.lit(x) for x in sizes)), F.col("phrase") + 1)
+    rows = rows.select("file_id", end.alias("end"), *nearest)
+    fits = F.greatest(*(F.col(f"at{n}") for n in numbers), F.lit(-1)) - F.col("end") <= near.near
+    for n in numbers:
+        fits = fits & F.col(f"at{n}").isNotNull()
+    return rows.where(fits).select("file_id").distinct()
 
 
 def search_index(index: DataFrame, query: str) -> DataFrame:
     """The distinct file_ids that a query finds; QuerySyntaxError for one that can't be read."""
     if not query.strip():
         raise QuerySyntaxError("an empty query")
-    return _files(index, Parser(query).parse())
+    tree = Parser(query).parse()
+    phrases, nears = _phrases(tree, []), _nears(tree, [])
+    found = occurrences(index, phrases)
+    sizes = [len(p.words) for p in phrases]
+    number = {id(p): n for n, p in enumerate(phrases)}
+    held = found.select("file_id", "phrase")
+    for k, near in enumerate(nears):
+        numbers = [number[id(p)] for p in near.parts]
+        number[id(near)] = len(phrases) + k
+        held = held.unionByName(near_files(found, near, numbers, sizes).select("file_id", F.lit(len(phrases) + k).alias("phrase")))
+    sets = held.groupBy("file_id").agg(F.collect_set("phrase").alias("has"))  # as many as the query has phrases, at most
+
+    def holds(node) -> Column:
+        if isinstance(node, Phrase):
+            return F.array_contains("has", number[id(node)])
+        kind, a, b = node
+        left, right = holds(a), holds(b)
+        return left | right if kind == "or" else left & right if kind == "and" else left & ~right
+
+    return sets.where(holds(tree)).select("file_id")

@@ -5,29 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 
-def folder_paths(folders: DataFrame, levels: int = 64) -> DataFrame:
+
+def folder_paths(folders: DataFrame) -> DataFrame:
     """(id, path, depth) of folders (id, name, parent_id). A folder without a parent, or whose parent isn't
     listed, begins a path; a link that would close a cycle is not followed, so the path starts there.
 
-    One equi-join with the parents a level, all open paths at once; it ends when none grows. Spark's recursive
-    CTE says the same, but it stops at a fixed number of rows.
+    Pointer doubling: each round joins every open chain of ancestors with the chain of the folder it ends at, so
+    chains double in length and rounds grow with the logarithm of the depth, which has no cap. A round is written
+    before the next, so lineage doesn't grow either.
     """
     nodes = folders.groupBy("id").agg(F.min(F.struct("name", "parent_id")).alias("n")).select("id", "n.*")
-    above = nodes.select(F.col("id").alias("up"), F.col("name").alias("up_name"), F.col("parent_id").alias("up_next"))
-    rows = nodes.select("id", F.concat(F.lit("/"), "name").alias("path"), F.array("id").alias("seen"), F.col("parent_id").alias("next"), F.lit(1).alias("depth"))
-    done = None
-    for _ in range(levels):
-        grown = rows.join(above, (F.col("next") == F.col("up")) & ~F.array_contains("seen", F.col("up")), "left").persist()
-        ended = grown.where("up is null").select("id", "path", "depth")
-        done = ended if done is None else done.union(ended)
-        rows = grown.where("up is not null").select(
-            "id", F.concat(F.lit("/"), "up_name", "path").alias("path"), F.array_append("seen", F.col("up")).alias("seen"),
-            F.col("up_next").alias("next"), (F.col("depth") + 1).alias("depth"),
-        )
-        if not rows.limit(1).count():
-            return done
-    return done.union(rows.select("id", "path", "depth"))
+    chain = F.array(F.struct("id", "name"))
+    rows = checkpointed(nodes.select("id", chain.alias("chain"), F.col("parent_id").alias("next")))
+    while rows.where("next is not null").limit(1).count():
+        above = rows.select(F.col("id").alias("up"), F.col("chain").alias("more"), F.col("next").alias("up_next"))
+        joined = rows.join(above, F.col("next") == F.col("up"), "left")
+        # the first of the further ancestors that the chain has already: there a cycle closes
+        again = F.expr("array_position(transform(more, m -> exists(chain, c -> c.id = m.id)), true)")
+        longer = F.when(F.col("up").isNull(), F.col("chain")).when(again > 0, F.concat("chain", F.slice("more", F.lit(1), again.cast("int") - 1))).otherwise(F.concat("chain", "more"))
+        rows = checkpointed(joined.select("id", longer.alias("chain"), F.when(again == 0, F.col("up_next")).alias("next")))
+    names = F.transform(F.reverse("chain"), lambda c: c["name"])
+    return rows.select("id", F.concat(F.lit("/"), F.array_join(names, "/")).alias("path"), F.size("chain").alias("depth"))
 
 
 def rollup_by_folder(videos: DataFrame) -> DataFrame:

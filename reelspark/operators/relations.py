@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_of, fold
+from ..session import checkpointed
 
 
 def labels_of(video_labels: DataFrame, labels: DataFrame) -> DataFrame:
@@ -63,16 +64,40 @@ def cuts_of_sources(videos: DataFrame) -> DataFrame:
 
 
 def decorated(page: DataFrame, video_labels: DataFrame, labels: DataFrame, history: DataFrame) -> DataFrame:
-    """A page's rows with size and duration as text, labels, is_new, completeness and the last edit."""
+    """A page's rows with size and duration as text, labels, is_new, completeness and the last edit.
+
+    The page is made first and written, so that its search and sort run once; side tables are reduced to its files
+    before anything is aggregated. A page has 200 rows at most, so its ids may be broadcast."""
     from ..functions.fmt import bytes_text, duration_text
     from ..functions.text import is_blank
     from .stats import completeness
 
-    edits = latest_edits(history).select("file_id", F.col("user_email").alias("last_edit_by"), F.col("created_at").alias("last_edit_at"))
-    rows = completeness(page, video_labels).join(label_map(page, video_labels, labels), "file_id").join(edits, "file_id", "left")
+    page = checkpointed(page)
+    ids = F.broadcast(page.select("file_id"))
+    mine, edited = video_labels.join(ids, "file_id", "left_semi"), history.join(ids, "file_id", "left_semi")
+    edits = latest_edits(edited).select("file_id", F.col("user_email").alias("last_edit_by"), F.col("created_at").alias("last_edit_at"))
+    rows = completeness(page, mine).join(label_map(page, mine, labels), "file_id").join(edits, "file_id", "left")
     return rows.withColumns({"size_text": bytes_text(F.col("file_size")), "duration_text": duration_text(F.col("duration_seconds")), "is_new": is_blank(F.col("reviewed_at"))})
 
 
+def detail(videos: DataFrame, file_id: str, video_labels: DataFrame, labels: DataFrame, terms: DataFrame, bridge: DataFrame, history: DataFrame) -> DataFrame:
+    """One file as its page shows it, no row if it is unknown: its columns, what decorated() adds, and lists of labels
+    (by name), terms (by category and term), related files (a cut's source, a source's cuts) and the newest edits."""
+    one = videos.where(F.col("file_id") == file_id)
+    here = lambda t: t.where(F.col("file_id") == file_id)
+    rows = decorated(one, here(video_labels), labels, here(history))
+    term = F.struct(fold(F.col("category")).alias("_c"), fold(F.col("term")).alias("_t"), "category", "term", "source", "confidence", "evidence")
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x.dropFields("_c", "_t"))
+    words = terms_of(here(bridge), terms).agg(listed(term).alias("terms"))
+    named = labels_of(here(video_labels), labels)
+    named = named.agg(F.transform(F.array_sort(F.collect_list(F.struct(fold(F.col("name")).alias("_n"), "label_id", "name", "color"))), lambda x: x.dropFields("_n")).alias("label_rows"))
+    source = sources_of_cuts(videos).where(F.col("file_id") == file_id).where("source_name is not null").select(F.lit("source").alias("role"), F.col("source_file_id").alias("file_id"), F.col("source_name").alias("file_name"))
+    cuts = cuts_of_sources(videos).where(F.col("file_id") == file_id).select(F.lit("cut").alias("role"), F.col("cut_id").alias("file_id"), F.col("cut_name").alias("file_name"))
+    related = source.union(cuts).agg(F.array_sort(F.collect_list(F.struct("role", "file_name", "file_id"))).alias("related"))
+    edits = newest(here(history)).agg(F.reverse(F.array_sort(F.collect_list(F.struct("id", "user_email", "created_at")))).alias("edits"))
+    return rows.crossJoin(words).crossJoin(named).crossJoin(related).crossJoin(edits)  # one row each
+
+
 def setting_row(settings: DataFrame, prefix: str = "drive_folder") -> DataFrame:
     """Key/value rows as one row, with who changed it last (ties: the greater key)."""
     value = lambda k: F.max(F.when(F.col("key") == f"{prefix}_{k}", F.col("value"))).alias(f"folder_{k}")

@@ -99,8 +99,9 @@ def conditions(r: SearchRequest) -> list[Column]:
     return out
 
 
-def matches(videos: DataFrame, r: SearchRequest, video_labels: DataFrame, labels: DataFrame) -> DataFrame:
-    """All files that a request finds, in no order."""
+def matches(videos: DataFrame, r: SearchRequest, video_labels: DataFrame, labels: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """All files that a request finds, in no order. Full text is looked up in the stored token index, where one is
+    given; else the index is made from videos."""
     out = videos
     for c in conditions(r):
         out = out.where(c)
@@ -111,7 +112,7 @@ def matches(videos: DataFrame, r: SearchRequest, video_labels: DataFrame, labels
     if r.query.strip() and r.full_text:
         from .fulltext import search_index, token_index
 
-        out = out.join(search_index(token_index(videos), r.query), "file_id", "left_semi")
+        out = out.join(search_index(token_index(videos) if tokens is None else tokens, r.query), "file_id", "left_semi")
     elif r.query.strip():
         out = text_filter(out, r.query, video_labels, labels)
     return out
@@ -133,8 +134,23 @@ def page_count(total: int, size: int) -> int:
     return max(-(-total // size), 1)
 
 
-def search(videos: DataFrame, r: SearchRequest, video_labels: DataFrame, labels: DataFrame) -> DataFrame:
-    return page_of(matches(videos, r, video_labels, labels), r)
+def search(videos: DataFrame, r: SearchRequest, video_labels: DataFrame, labels: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    return page_of(matches(videos, r, video_labels, labels, tokens), r)
+
+
+def checked_sort(sort_by: str, sort_dir: str) -> tuple[str, str]:
+    """The two as they are; ValueError for a column that can't be sorted by or a direction that is none."""
+    if sort_by not in SORTS:
+        raise ValueError(f"can't sort by {sort_by!r}")
+    if sort_dir.lower() not in ("asc", "desc"):
+        raise ValueError(f"no direction: {sort_dir!r}")
+    return sort_by, sort_dir
+
+
+def paged(found: DataFrame, r: SearchRequest) -> DataFrame:
+    """(total, pages) of what a request found."""
+    size = min(max(r.page_size, 1), 200)
+    return found.agg(F.count("*").alias("total")).select("total", F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("long").alias("pages"))
 
 
 def raw_options(videos: DataFrame, exclude: str = "") -> DataFrame:

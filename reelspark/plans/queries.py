@@ -219,7 +219,7 @@ _LINK = "CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://drive.google.com/
 query("url_folder_id", lambda t: t.read("pages").select("page_id", text.folder_id(F.expr(_LINK)).alias("folder_id")),
       f"SELECT page_id, CASE WHEN link NOT LIKE '%http%' THEN link WHEN link LIKE '%/folders/%' THEN split_part(split_part(split_part(link, '/folders/', 2), '?', 1), '/', 1) WHEN link LIKE '%id=%' THEN split_part(split_part(link, 'id=', 2), '&', 1) END AS folder_id FROM (SELECT page_id, {_LINK} AS link FROM pages)")
 _PROBE = ["duration_seconds", "resolution", "fps", "video_codec", "audio_codec", "bitrate", "aspect_ratio", "orientation", "has_audio", "container_format"]
-query("probe_fields", lambda t: t.probes.select("id", "line", fmt.probe_fields(F.col("probe")).alias("m")).select("id", "line", *(f"m.{c}" for c in _PROBE)),
+query("probe_fields", lambda t: fmt.parsed(t.probes, F.col("probe"), "m").select("id", "line", *(f"m.{c}" for c in _PROBE)),
       """, j AS (SELECT id, line, probe, CAST(json_extract(probe, '$.streams[1].width') AS BIGINT) AS w, CAST(json_extract(probe, '$.streams[1].height') AS BIGINT) AS h, json_extract_string(probe, '$.streams[1].avg_frame_rate') AS r FROM probes)
       SELECT id, line, CAST(json_extract_string(probe, '$.format.duration') AS DOUBLE) AS duration_seconds, w || 'x' || h AS resolution, CASE r WHEN '30000/1001' THEN 29.97::DOUBLE WHEN '25/1' THEN 25::DOUBLE END AS fps, 'h264' AS video_codec, coalesce(json_extract_string(probe, '$.streams[2].codec_name'), '') AS audio_codec, CAST(json_extract_string(probe, '$.format.bit_rate') AS BIGINT) AS bitrate, (w // gcd(w, h)) || ':' || (h // gcd(w, h)) AS aspect_ratio, CASE WHEN h > w THEN 'portrait' ELSE 'landscape' END AS orientation, json_extract(probe, '$.streams[2]') IS NOT NULL AS has_audio, 'mov' AS container_format FROM j""", "probes")
 query("owner_fallback", lambda t: t.videos.select("file_id", text.first_of(F.col("speaker"), F.col("preacher"), F.col("owner")).alias("owner")),

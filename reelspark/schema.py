@@ -178,6 +178,24 @@ INDEXED = [
     "keywords",
     "semantic_tags",
 ]
+#: Fields whose list texts make terms, and the terms' categories.
+LEXICON = {
+    "main_theme": "theme",
+    "spiritual_themes": "theme",
+    "doctrine_topics": "doctrine",
+    "biblical_topics": "biblical_topic",
+    "bible_references": "scripture",
+    "songs": "song",
+    "worship_leaders": "person",
+    "speaker": "person",
+    "preacher": "person",
+    "ministry": "ministry",
+    "event_name": "event",
+    "location": "place",
+    "content_type": "content_type",
+    "keywords": "keyword",
+    "semantic_tags": "semantic_tag",
+}
 #: Sortable columns; True: ASCII case doesn't count.
 SORTS = {
     "file_name": True, "folder_path": True, "file_size": False, "duration_seconds": False, "modified_at": False,

@@ -1,6 +1,11 @@
-"""The session that the catalogue operators expect."""
+"""The session that the catalogue operators expect, and cutting lineage in its shared folder."""
 
-from pyspark.sql import SparkSession
+from __future__ import annotations
+
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -9,3 +14,16 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     builder = builder.master(master) if master else builder
     fixed = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
     return builder.config(map=fixed | conf).getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written once to the folder that the cluster names in spark.checkpoint.dir. Only a local master, whose tasks
+    run in this process, may do without that setting."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if not at and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="reelspark-"))
+    return df.checkpoint()

@@ -62,7 +62,10 @@ SELECT CASE n_regionkey WHEN 0 THEN 'drive_folder_id' WHEN 1 THEN 'drive_folder_
 FROM nation GROUP BY n_regionkey"""
 
 USERS = """
-SELECT c_custkey AS id, lower(c_name) || '@x.example' AS email, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS is_active FROM customer"""
+SELECT c_custkey AS id, lower(replace(c_name, '#', '-')) || '@x.example' AS email, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS is_active,
+    c_mktsegment || '-' || CAST(c_nationkey AS STRING) AS password_hash, '00ff' AS password_salt,
+    CASE WHEN c_custkey % 3 = 0 THEN CAST(NULL AS STRING) ELSE '2023-05-05 00:00:00' END AS email_verified_at, CAST(NULL AS STRING) AS last_login_at
+FROM customer"""
 SESSIONS = """
 SELECT 'tok-' || CAST(o_orderkey AS STRING) AS token_hash, o_custkey AS user_id, CAST(o_orderdate AS STRING) AS expires_at FROM orders"""
 CODES = """
@@ -70,6 +73,31 @@ SELECT c_custkey AS user_id, '2024-01-01 00:00:' || lpad(CAST(c_custkey % 60 AS
     '2024-01-01 00:0' || CAST(c_custkey % 3 AS STRING) || ':30' AS expires_at, CAST(c_nationkey % 8 AS INT) AS attempts
 FROM customer WHERE c_mktsegment <> 'BUILDING'"""
 
+#: Requests about accounts: addresses of customers, some unknown, spelled in several ways, with a password or code.
+ASKED = """
+SELECT c_custkey AS n, CASE c_custkey % 4 WHEN 0 THEN ' ' || upper(replace(c_name, '#', '-')) || '@X.example ' WHEN 1 THEN 'new' || CAST(c_custkey AS STRING) || '@y.example'
+        WHEN 2 THEN replace(c_name, '#', '-') || '@x.example' ELSE 'no address ' || CAST(c_custkey AS STRING) END AS email,
+    CASE WHEN c_custkey % 5 = 0 THEN 'short' ELSE c_mktsegment || '-' || CAST(c_nationkey AS STRING) END AS password,
+    CASE c_custkey % 7 WHEN 0 THEN '12345' WHEN 1 THEN 'abcdef' ELSE lpad(CAST(c_custkey % 3 AS STRING), 6, '0') END AS code,
+    CASE WHEN c_custkey % 2 = 0 THEN true ELSE false END AS verified
+FROM customer WHERE c_custkey % 6 <> 5"""
+
+#: Items of a listing: the folders, shortcuts back to their regions (cycles), and documents as files of several kinds.
+ITEMS = f"""
+SELECT id, name, 'application/vnd.google-apps.folder' AS mime, CAST(NULL AS STRING) AS size, '2020-01-01T00:00:00Z' AS modified, '' AS owner_name, 'f@x.example' AS owner_email,
+    CAST(NULL AS STRING) AS target_id, CAST(NULL AS STRING) AS target_mime, CAST(NULL AS STRING) AS drive_id, '' AS link, false AS trashed, CAST(0 AS BIGINT) AS scan_seq, parent_id AS listed_folder_id
+FROM ({FOLDERS}) AS f WHERE parent_id IS NOT NULL
+UNION ALL SELECT 'k' || CAST(n_nationkey AS STRING), 'Back to ' || n_name, 'application/vnd.google-apps.shortcut', NULL, '2020-01-01T00:00:00Z', 'Owner', '',
+    CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE 'r' || CAST(n_regionkey AS STRING) END, 'application/vnd.google-apps.folder', NULL, NULL, n_nationkey % 6 = 0, CAST(0 AS BIGINT), 'n' || CAST(n_nationkey AS STRING) FROM nation
+UNION ALL SELECT 'v' || CAST(doc_id AS STRING), source || '_' || lang || ' Take ' || CAST(doc_id AS STRING) || {EXT},
+    CASE doc_id % 4 WHEN 0 THEN 'video/mp4' WHEN 1 THEN 'application/octet-stream' WHEN 2 THEN 'application/vnd.google-apps.shortcut' ELSE 'text/plain' END,
+    CASE doc_id % 10 WHEN 0 THEN 'junk' WHEN 1 THEN NULL ELSE CAST(n_chars * 1000 AS STRING) END, CAST(2010 + doc_id % 15 AS STRING) || '-01-01T00:00:00Z',
+    CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Name ' || lang END, CASE WHEN doc_id % 2 = 0 THEN lang || '@x.example' ELSE '' END,
+    CASE WHEN doc_id % 4 = 2 THEN 'v' || CAST(doc_id + 2 AS STRING) END, CASE WHEN doc_id % 8 = 2 THEN 'video/mp4' ELSE 'text/plain' END,
+    'r' || CAST(doc_id % 9 AS STRING), CASE WHEN doc_id % 5 = 0 THEN 'https://x.example/' || CAST(doc_id AS STRING) ELSE '' END, doc_id % 11 = 0, doc_id, 'n' || CAST(doc_id % 30 AS STRING)
+FROM documents"""
+DRIVES = "SELECT 'r' || CAST(r_regionkey AS STRING) AS id, CASE WHEN r_regionkey = 4 THEN CAST(NULL AS STRING) ELSE r_name END AS name FROM region"
+
 _BOOK = " ".join(f"WHEN {i} THEN '{b}'" for i, b in enumerate(BOOKS[:20]))
 NAMES = f"""
 SELECT p_partkey AS id,
@@ -93,6 +121,7 @@ FROM lineitem"""
 RELATIONS = {
     "videos": VIDEOS, "video_labels": VIDEO_LABELS, "label_names": LABELS, "history": HISTORY, "terms": TERMS, "term_bridge": TERM_BRIDGE,
     "folders": FOLDERS, "settings": SETTINGS, "users": USERS, "sessions": SESSIONS, "codes": CODES, "names": NAMES, "probes": PROBES,
+    "asked": ASKED, "items": ITEMS, "drives": DRIVES,
 }
 TABLES = "region nation customer supplier part orders lineitem events documents labels pages conversations".split()
 

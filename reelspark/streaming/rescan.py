@@ -4,39 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.fulltext import token_index
+from ..operators.fulltext import refresh, token_index
 from ..operators.merge import assign_ids, changed, last_of, upsert
 from ..schema import VIDEOS, align
-from ..sources.listing import ITEM, enriched, records, routed
+from ..session import checkpointed
+from ..sources.listing import ITEM, enriched, records, routed, scan_counts
 from ..sources.store import Store
 
 IDS = "id long, file_id string, internal_video_id string"
 
 
+def outcomes(rows: DataFrame, state: DataFrame, full: bool = False) -> DataFrame:
+    """rows (one a file) with ``outcome``: error, indexed, or skipped where state holds the same version (not if full)."""
+    good = rows.where("scan_status <> 'error'")
+    todo = (good if full else changed(good, state)).select("file_id", F.lit(True).alias("_d"))
+    outcome = F.when(F.col("scan_status") == "error", "error").when(F.col("_d"), "indexed").otherwise("skipped")
+    return rows.join(todo, "file_id", "left").withColumn("outcome", outcome).drop("_d")
+
+
 def ingest(store: Store, items: DataFrame, paths: DataFrame, drives: DataFrame, now: str, full: bool = False) -> DataFrame:
     """Merge a batch of listing items: route, skip what hasn't changed (unless full), enrich, number, upsert,
-    index. Returns one row of counts. The tables' new versions appear one after another, the catalogue last."""
-    from pyspark.sql import types as T
-
-    current = store.read("videos", VIDEOS)
+    index. Returns one row of counts. Only the buckets that changed files fall into are read and written anew, and only
+    changed files are tokenised. The tables' new versions appear one after another, the tokens last; a batch that is
+    run again after a failure comes to the same tables."""
     found = routed(items.where(~F.coalesce("trashed", F.lit(False)))).where("route = 'video'")
-    rows = last_of(records(found, paths, drives, now), "file_id", "scan_seq")
-    good = rows.where("scan_status <> 'error'")
-    todo = good if full else changed(good, current)
+    rows = checkpointed(last_of(records(found, paths, drives, now), "file_id", "scan_seq"))
+    rows = checkpointed(outcomes(rows, store.read("videos", VIDEOS, buckets=store.touched(rows)), full))
+    todo = rows.where("outcome = 'indexed'").drop("outcome")
+    touched = store.touched(todo)
     known = store.read("video_ids", T.StructType.fromDDL(IDS))
     high = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
-    ids = known.unionByName(assign_ids(todo, known, high))
-    store.write("video_ids", ids)
-    numbered = align(enriched(todo)).drop("internal_video_id").join(store.read("video_ids").select("file_id", "internal_video_id"), "file_id", "left")
-    store.write("videos", upsert(current, numbered.select(*current.columns), now=F.lit(now)))
-    store.write("tokens", token_index(store.read("videos")))
-    done = todo.select("file_id", F.lit(True).alias("_d"))
-    outcome = F.when(F.col("scan_status") == "error", "error").when(F.col("_d"), "indexed").otherwise("skipped")
-    from ..sources.listing import scan_counts
-
-    return scan_counts(rows.join(done, "file_id", "left").withColumn("outcome", outcome))
+    held = known if touched == [] else store.read("video_ids", T.StructType.fromDDL(IDS), buckets=touched)
+    ids = held.unionByName(assign_ids(todo, held, high))
+    if touched:
+        store.write("video_ids", ids, touched)
+        names = store.read("video_ids", buckets=touched).select("file_id", "internal_video_id")
+        numbered = align(enriched(todo)).drop("internal_video_id").join(names, "file_id", "left")
+        current = store.read("videos", VIDEOS, buckets=touched)
+        store.write("videos", upsert(current, numbered.select(*current.columns), now=F.lit(now)), touched)
+        merged = store.read("videos", buckets=touched).join(todo.select("file_id"), "file_id", "left_semi")
+        empty = token_index(merged.limit(0)).schema
+        store.write("tokens", refresh(store.read("tokens", empty, buckets=touched), merged), touched)
+    return scan_counts(rows)
 
 
 def start(spark: SparkSession, landing: str, store: Store, paths: DataFrame, drives: DataFrame, checkpoint: str, now: str, once: bool = True) -> StreamingQuery:
