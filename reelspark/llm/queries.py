@@ -130,15 +130,15 @@ WITH texts AS (
     SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
 words AS (
     SELECT kind, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM texts),
+widths AS (SELECT kind, id, w, unnest(CASE WHEN kind = 'd' THEN range(1, 6) ELSE [least(len(w), 5)] END) AS k FROM words),
 shingles AS (
-    SELECT DISTINCT kind, id, unnest(CASE
-        WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
-    FROM words),
+    SELECT DISTINCT kind, id, k, unnest(CASE WHEN k > 0 AND len(w) >= k
+        THEN list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) ELSE [] END) AS s
+    FROM widths WHERE k IN (SELECT least(len(w), 5) FROM words WHERE kind = 'b')),
 n AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'b' GROUP BY id),
 hits AS (
     SELECT d.id AS doc_id, b.id AS item_id, count(*) AS found
-    FROM shingles d JOIN shingles b ON d.kind = 'd' AND b.kind = 'b' AND d.s = b.s GROUP BY d.id, b.id)
+    FROM shingles d JOIN shingles b ON d.kind = 'd' AND b.kind = 'b' AND d.k = b.k AND d.s = b.s GROUP BY d.id, b.id)
 SELECT doc_id, item_id, n AS n_shingles, found AS n_found FROM hits JOIN n ON n.id = item_id WHERE found * 100 >= n * 80
 """,
 }

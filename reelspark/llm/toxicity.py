@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, trim
+from .common import discard, ship, stash, trim
 
 ship(__name__)
 
@@ -27,8 +28,8 @@ SLOTS = 1 << 18
 MEMO_WORDS = 150_000
 TOKEN = re.compile(r"\w+|[.!?\n]+")
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+|$)")
-#: The fit's bounds: labelled documents, and characters of one of them.
-SAMPLE_DOCS, SAMPLE_CHARS = 8_000, 1_000_000
+#: The fit's bounds: labelled documents, and the characters of all of them together.
+SAMPLE_DOCS, SAMPLE_CHARS = 8_000, 1 << 26
 
 
 def slots(word: str) -> tuple[int, int, int]:
@@ -78,11 +79,10 @@ class Model:
         return out
 
 
-def fit(texts: list[str], toxic: np.ndarray, epochs: int = 80, least: int = 10, shrink: float = 2e-3, rate: float = 0.15) -> Model:
+def fit(texts: Iterable[str | None], marks: list[int], epochs: int = 200, least: int = 3, shrink: float = 2e-3, rate: float = 0.15, lowest: float = -0.2) -> Model:
     """Fit by Adam over all bags; weights are kept sparse by soft thresholds. Features of fewer than ``least``
-    bags keep no weight."""
-    if not len(texts) or not toxic.any():
-        return Model(np.zeros(SLOTS, np.float32), -30.0)
+    bags keep no weight; none falls under ``lowest``, so that harmless words can't hide an offending one in their
+    sentence. Texts are read once, one by one; marks has their labels by then."""
     names: dict[str, int] = {}
     words, lengths, bag = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
@@ -99,6 +99,9 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 80, least: int = 10,
         if n or not bag or bag[-1] != d:
             lengths.append(n)
             bag.append(d)
+    toxic = np.array(marks, bool)
+    if not toxic.any():
+        return Model(np.zeros(SLOTS, np.float32), -30.0)
     where = np.array([slots(w) for w in names] or np.zeros((0, 3)), np.int64).reshape(-1, 3)
     words, lengths, bag = (np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in (words, lengths, bag))
     sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
@@ -113,7 +116,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 80, least: int = 10,
     dense[useful] = np.arange(len(useful))
     words = dense[words] if len(words) else words
     sentence, words = sentence[words >= 0], words[words >= 0]
-    where, n_bags, n_sent = where[useful], len(texts), len(lengths)
+    where, n_bags, n_sent = where[useful], len(toxic), len(lengths)
     y, w, b = toxic.astype(np.float64), np.zeros(SLOTS), -6.0
     m, v, mb, vb = np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 0.0
     for step in range(1, epochs + 1):
@@ -129,7 +132,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 80, least: int = 10,
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         fast = rate / (np.sqrt(v / (1 - 0.99**step)) + 1e-5)
         w -= fast * m / (1 - 0.9**step)
-        w = np.sign(w) * np.maximum(np.abs(w) - fast * shrink / 10, 0)
+        w = np.maximum(np.sign(w) * np.maximum(np.abs(w) - fast * shrink / 10, 0), lowest)
         b -= rate * mb / (1 - 0.9**step) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-5)
     return Model(w.astype(np.float32), float(b))
 
@@ -139,18 +142,55 @@ def fold(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on at most ``sample`` labelled documents of at most ``chars`` characters outside fold 0, picked by
-    the hash of their ids; never on labels of fold 0."""
+def sample_of(docs: DataFrame, labels: DataFrame, most: int, chars: int) -> DataFrame:
+    """(doc_id, k, text, toxic): labelled documents outside fold 0 in the order of their ids' hashes, at most ``most``,
+    each as long as it is, as many as fit ``chars`` characters in all. Labels without a document take no place."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where(F.length("text") <= chars).join(known, "doc_id")
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
-    model = fit([r.text for r in got], np.array([int(r.toxic) for r in got]))
-    del got
-    trim()
-    return model
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    sizes = texts.select("doc_id", F.xxhash64("text").alias("k"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("k")]
+    first = sizes.join(known, "doc_id").groupBy("doc_id", "k").agg(F.max("n").alias("n"), F.max("toxic").alias("toxic")).orderBy(*order).limit(most)
+    picked, left = [], chars
+    for r in first.collect():  # ``most`` rows of four numbers
+        if r.n <= left:
+            picked.append((r.doc_id, r.k, r.toxic))
+            left -= r.n
+    picked = docs.sparkSession.createDataFrame(picked, "p_id long, p_k long, toxic int")
+    rows = texts.join(F.broadcast(picked), (F.col("doc_id") == F.col("p_id")) & (F.xxhash64("text") == F.col("p_k")))
+    return rows.groupBy("doc_id", F.col("p_k").alias("k")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on at most ``sample`` labelled documents outside fold 0, of at most ``chars`` characters together, picked by
+    the hash of their ids; never on labels of fold 0. The fit runs in one task, so the driver holds no text, only the
+    weights.
+
+    A null text is an empty one. Rows without an id have no label. Of several labels of an id the greatest counts;
+    rows that repeat are one. A document longer than ``chars`` alone is left out. Without toxic labels nothing scores.
+    """
+    rows = stash(sample_of(docs, labels, sample, chars), "sample")
+
+    def run(batches):
+        marks: list[int] = []
+
+        def texts():
+            for b in batches:
+                for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                    marks.append(y)
+                    yield text.as_py()
+
+        model = fit(texts(), marks)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
+        del model
+        trim()
+
+    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "k").select("text", "toxic")
+    fitted = one.mapInArrow(run, "weights binary, bias double").collect()
+    discard(rows)
+    if not fitted:
+        return Model(np.zeros(SLOTS, np.float32), -30.0)
+    return Model(np.frombuffer(fitted[0].weights, np.float32), fitted[0].bias)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +212,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """(doc_id, start, end, score) of the sentences whose own score is at least ``least``."""
+    """(doc_id, start, end, score) of the sentences whose own score is at least ``least``; null and empty texts have
+    none, and rows without an id are left out, as their sentences couldn't be told apart. Repeated rows repeat their
+    sentences; texts of any length are searched whole; other columns are ignored."""
     held = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(frames):
@@ -191,7 +233,9 @@ def judged(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """docs without the toxic ones; all columns stay. Scored in place, so no join carries the texts."""
+    """docs without the toxic ones; all columns stay, whatever their names. Scored in place, so no join carries the
+    texts. A null or empty text has the score of one without words; rows without an id, and rows that repeat, are
+    judged each by its text, however long."""
     held, at = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias)), docs.columns.index("text")
 
     def run(batches):

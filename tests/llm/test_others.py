@@ -201,15 +201,14 @@ def test_no_labels(spark):
 def plain_contained(docs, items, width=5, percent=80):
     import re
 
-    def shingles(t):
-        w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
-        return {" ".join(w[i : i + width]) for i in range(len(w) - width + 1)} or ({" ".join(w)} if w else set())
+    words = lambda t: [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
+    shingles = lambda w, k: {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
 
     out = []
     for i, t in docs:
-        held = shingles(t)
         for j, q in items:
-            want = shingles(q)
+            k = min(width, len(words(q)))
+            held, want = shingles(words(t), k), shingles(words(q), k)
             if want and len(want & held) * 100 >= percent * len(want):
                 out.append((i, j, len(want), len(want & held)))
     return out
@@ -221,7 +220,7 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, rows):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5))) for _ in range(300)]
     items = [(j, " ".join(rng.choice(words) for _ in range(rng.randint(6, 70)))) for j in range(30)]
-    items += [(30, None), (31, ""), (32, "two words"), (33, items[0][1]), (33, items[0][1]), (None, items[1][1])]
+    items += [(30, None), (31, ""), (32, "two words"), (34, "Alpha beta: gamma"), (35, "one"), (33, items[0][1]), (33, items[0][1]), (None, items[1][1])]
     docs = []
     for i in range(80):
         body = [rng.choice(words) for _ in range(rng.randint(0, 200))]
@@ -231,7 +230,7 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, rows):
         if i % 2:
             body[rng.randint(0, len(body)) : 0] = [q.upper() if i % 3 else q + "," for q in quote]
         docs.append((i, " ".join(body)))
-    docs += [(90, None), (91, ""), (92, "Two WORDS!"), (93, "two words more"), (None, items[2][1]), (94, items[3][1]), (94, items[3][1])]
+    docs += [(90, None), (91, ""), (92, "Two WORDS!"), (93, "some of two words more"), (95, "x " * 50 + "alpha, BETA gamma" + " y" * 50), (96, "alpha gamma beta"), (None, items[2][1]), (94, items[3][1]), (94, items[3][1])]
     d = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, item_id string, n int")
     b = spark.createDataFrame([(j, t, 1) for j, t in items], "item_id long, text string, doc_id int")
     key = lambda x: tuple((v is None, v or 0) for v in x)
