@@ -36,8 +36,8 @@ class BlockedBloom:
     """A Bloom filter of 64-bit blocks: a key sets four bits of one block. The size is fixed by ``bits``
     (2^23, one megabyte, at most), however many keys it takes; more keys only mean more possible hits."""
 
-    def __init__(self, keys: int, most: int = 1 << 23):
-        self.words = np.zeros(max(1, min(most, 1 << max(6, (16 * keys - 1).bit_length())) >> 6), np.uint64)
+    def __init__(self, keys: int, most: int = 1 << 23, words: np.ndarray | None = None):
+        self.words = np.zeros(max(1, min(most, 1 << max(6, (16 * keys - 1).bit_length())) >> 6), np.uint64) if words is None else words
 
     def _at(self, key: bytes) -> tuple[int, int]:
         h = xxhash.xxh3_64_intdigest(key)
@@ -78,10 +78,11 @@ def _build(rules: DataFrame):
 
 def possible(urls: DataFrame, bloom, sizes) -> DataFrame:
     """(host, path, rule_host, rule_path): for each (host, path) the rule keys that the filter lets through."""
-    held = urls.sparkSession.sparkContext.broadcast((bloom, sizes))
+    held = urls.sparkSession.sparkContext.broadcast((bloom.words, sizes))  # plain arrays: executors have no copy of the package
 
     def run(batches):
-        bloom, sizes = held.value
+        words, sizes = held.value
+        bloom = BlockedBloom(0, words=words)
         for b in batches:
             out: list[list[str]] = [[], [], [], []]
             for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
