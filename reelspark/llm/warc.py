@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import open_shared, shared_dir, ship, stash
+from .common import open_shared, scratch, ship, stash
 
 ship(__name__)
 
@@ -138,33 +138,44 @@ def write_archives(planned: DataFrame, at: str, level: int = 1) -> DataFrame:
 
 
 def normalise(archives: DataFrame, level: int = 4) -> DataFrame:
-    """Rewrite every archive with each record as its own gzip member, beside it an index of offsets:
-    (path, offset, length, type, record_id). Each archive is inflated once, record by record."""
+    """Rewrite every archive with each record as its own gzip member, and beside it a sidecar index, a line a record:
+    offset, length, type and id. Each archive is inflated once, record by record. Returns (path, records) of the new
+    archives; the index of x.warc.gz is x.idx."""
 
     def run(frames):
         for pdf in frames:
             for raw in pdf["path"]:
-                path = raw.replace("/raw-", f"/members-{uuid.uuid4().hex[:8]}-")
-                rows, at = [], 0
-                with open_shared(raw, "rb") as source, open_shared(path, "wb") as to:
+                path, at, n = raw.replace("/raw-", f"/members-{uuid.uuid4().hex[:8]}-"), 0, 0
+                with open_shared(raw, "rb") as source, open_shared(path, "wb") as to, open_shared(path.removesuffix(".warc.gz") + ".idx", "wb") as index:
                     for one in records(inflated(source)):
                         engine = zlib.compressobj(level, zlib.DEFLATED, 31)
                         member = engine.compress(one) + engine.flush()
                         to.write(member)
                         fields, _ = parse(one)
-                        rows.append((path, at, len(member), fields["warc-type"], fields["warc-record-id"]))
+                        index.write(f"{at} {len(member)} {fields['warc-type']} {fields['warc-record-id']}\n".encode())
                         at += len(member)
-                with open_shared(path.removesuffix(".warc.gz") + ".idx", "wb") as index:
-                    for _, offset, length, kind, name in rows:
-                        index.write(f"{offset} {length} {kind} {name}\n".encode())
-                yield pd.DataFrame(rows, columns=["path", "offset", "length", "type", "record_id"])
+                        n += 1
+                yield pd.DataFrame([(path, n)], columns=["path", "records"])
 
-    return archives.select("path").mapInPandas(run, "path string, offset long, length long, type string, record_id string")
+    return archives.select("path").mapInPandas(run, "path string, records long")
 
 
-def read_index(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The sidecar index files as rows (offset, length, type, record_id)."""
-    return spark.read.schema("offset long, length long, type string, record_id string").csv(paths, sep=" ")
+def read_index(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The sidecar index files as rows (offset, length, type, record_id, file), file being the index's name."""
+    rows = spark.read.schema("offset long, length long, type string, record_id string").csv(paths, sep=" ")
+    return rows.select("*", F.col("_metadata.file_name").alias("file"))
+
+
+def indexed(archives: DataFrame, at: str) -> DataFrame:
+    """(path, offset, length) of every record of the archives (path) under ``at``, from their sidecar indexes; what
+    a task that was run again has left there is in no archive's name and doesn't count."""
+    spark = archives.sparkSession
+    if not archives.limit(1).count():
+        return spark.createDataFrame([], "path string, offset long, length long")
+    named = archives.select("path", F.regexp_replace(F.substring_index("path", "/", -1), r"\.warc\.gz$", ".idx").alias("file"))
+    rows = read_index(spark, f"{at}/members-*.idx").join(named, "file").select("path", "offset", "length")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, "path").sortWithinPartitions("path", "offset")
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -211,8 +222,9 @@ def round_trip(pages: DataFrame, at: str | None = None) -> DataFrame:
     page_id of equal payloads are all responses. An empty table writes nothing and gives no rows. Columns
     other than page_id, url and html are ignored.
     """
-    at = at or f"{shared_dir(pages.sparkSession)}/reelspark-warc-{uuid.uuid4().hex}"
+    spark = pages.sparkSession
+    at = at or scratch(spark, "warc")
     archives = stash(write_archives(plan(pages), at), "archives")
-    slots = pages.sparkSession.sparkContext.defaultParallelism
-    index = stash(normalise(archives.repartition(max(slots, 4 * slots))), "index")
-    return read_records(index)
+    slots = spark.sparkContext.defaultParallelism
+    members = stash(normalise(archives.repartition(4 * slots)), "members")
+    return read_records(indexed(members, at))

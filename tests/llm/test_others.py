@@ -85,6 +85,14 @@ def test_warc_round_trip(spark, tmp_path):
         assert sum(r.length for r in index) == len(data)
         assert all(zlib.decompress(data[r.offset : r.offset + r.length], 31).startswith(b"WARC/1.1") for r in index)
     assert warc.round_trip(df.limit(0), f"file://{tmp_path}/none").count() == 0
+    # records are found by the sidecar: without a line, one isn't read
+    members = [f"file://{p}" for p in sorted(tmp_path.glob("members-*.warc.gz"))]
+    named = spark.createDataFrame([(p,) for p in members], "path string")
+    side = next(tmp_path.glob("members-*.idx"))
+    lines = side.read_text().splitlines()
+    (tmp_path / f".{side.name}.crc").unlink(missing_ok=True)
+    side.write_text("\n".join(lines[1:]))
+    assert warc.read_records(warc.indexed(named, f"file://{tmp_path}")).count() == len(rows) - 1
 
 
 def test_warc_cut_off():
