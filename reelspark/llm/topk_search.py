@@ -9,6 +9,7 @@ candidate whose upper bound is below the k-th best lower bound is compacted away
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -105,19 +106,21 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "
     such queries one row (the least vector) asks. Other columns are ignored; no queries give no rows.
     """
     rows = quantised(vectors, id_col, vec_col, scale)
-    spark, context = rows.sparkSession, rows.sparkSession.sparkContext
-    asked = stash(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    count = asked.count()
-    found = None
-    numbered = asked.rdd.zipWithIndex() if count > WAVE else None
-    for at in range(0, max(count, 1), WAVE):
-        part = asked if numbered is None else spark.createDataFrame(
-            numbered.filter(lambda x, at=at: at <= x[1] < at + WAVE).map(lambda x: tuple(x[0])), asked.schema
-        )
-        got = part.collect()  # one wave: at most WAVE rows
+    context = rows.sparkSession.sparkContext
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = stash(asked.withColumn("n", F.monotonically_increasing_id()), "queries")  # partition, then place there
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    before, starts = 0, []
+    for p in asked.groupBy(F.shiftright("n", 33).alias("p")).agg(F.count("*").alias("rows")).orderBy("p").collect():  # a row a partition
+        starts += [F.lit(p.p), F.lit(before)]
+        before += p.rows
+    place = F.col("n").bitwiseAND((1 << 33) - 1)
+    number = place + F.try_element_at(F.create_map(*starts), F.shiftright("n", 33)) if starts else place
+    found = []
+    for at in range(0, max(before, 1), WAVE):
+        got = asked.where((number >= at) & (number < at + WAVE)).select("vec_id", "v").collect()  # one wave: at most WAVE rows
         wave = context.broadcast([r[0] for r in got]), context.broadcast([np.array(r[1], np.int64) for r in got])
         some = rows.mapInPandas(_search(wave, k), "query_id long, vec_id long, score long")
-        found = some if found is None else found.union(some)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        ranked = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found.append(ranked if before <= WAVE else stash(ranked, "wave"))  # waves have their own queries, so each is final
+    return reduce(DataFrame.unionByName, found)
