@@ -7,6 +7,7 @@ import os
 import re
 import sys
 import tempfile
+import time
 import uuid
 
 from pyspark import cloudpickle
@@ -62,23 +63,29 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    spark._jvm.System.gc()  # Spark frees the shuffle files of finished jobs when their plans are collected
+    _collect(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed_at = path
     return out
 
 
+_collected = [0.0]
+
+
+def _collect(spark: SparkSession) -> None:
+    """Now and then have the driver's JVM collect garbage: Spark frees the shuffle files of finished jobs when their
+    plans are collected."""
+    if time.monotonic() - _collected[0] > 3:
+        spark._jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of stashed frames that no later step reads."""
     for df in frames:
         forget(df.sparkSession, df._stashed_at)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def trim() -> None:
     """Give memory that a finished partition has freed back to the system: Python workers live on."""
     import ctypes
@@ -132,20 +139,21 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node reachable.
 
     Neighbour minimum plus pointer jumping, so rounds grow with the logarithm of the diameter. Each round is
-    joins and a pre-aggregated minimum; labels are checkpointed, and only one flag reaches the driver.
+    joins and a pre-aggregated minimum; labels are written and the round's before deleted, and only one flag reaches
+    the driver.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("r")))
+    both = stash(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "links")
+    labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("r")), "labels")
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), "r"), "b").groupBy("a").agg(F.min("r").alias("n"))
-        step = labels.join(near, "a").select("a", F.col("r").alias("was"), F.least("r", "n").alias("r1"))
+        step = labels.select("a", "r").join(near, "a").select("a", F.col("r").alias("was"), F.least("r", "n").alias("r1"))
         after = labels.select(F.col("a").alias("r1"), F.col("r").alias("r2"))
-        step = step.join(after, "r1", "left").select("a", "was", F.least("r1", F.coalesce("r2", "r1")).alias("r"))
-        step = checkpointed(step)
-        moved = step.where("r <> was").limit(1).count()
-        labels = step.select("a", "r")
-        if not moved:
-            return labels.select(F.col("a").alias("node"), F.col("r").alias("root"))
+        step = stash(step.join(after, "r1", "left").select("a", "was", F.least("r1", F.coalesce("r2", "r1")).alias("r")), "labels")
+        discard(labels)
+        if not step.where("r <> was").limit(1).count():
+            discard(both)
+            return step.select(F.col("a").alias("node"), F.col("r").alias("root"))
+        labels = step
 
 
 def one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

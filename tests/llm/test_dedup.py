@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from brute import components, simhash, substring_dedup, suffix_dedup
 
-from reelspark.llm import simhash_dedup, substring_dedup as sub, suffix_array_dedup as suf
+from reelspark.llm import common, simhash_dedup
+from reelspark.llm import substring_dedup as sub
+from reelspark.llm import suffix_array_dedup as suf
 from reelspark.llm.line_dedup import line_dedup
 
 DOCS = "text string, doc_id long, lang string, fp long, k1 string"
@@ -72,6 +74,28 @@ def test_links_lose_no_component(spark, limit):
     assert [find(i) for i in range(len(prints))] == components(prints)
 
 
+def test_links_of_a_large_cell(spark):
+    """Some 2000 fingerprints, most of them in cells of several hundred, by the real limit of a cell."""
+    rng, prints = random.Random(9), set()
+    for _ in range(3):
+        centre = rng.getrandbits(64)
+        for _ in range(600):
+            x = centre
+            for _ in range(rng.randint(0, 5)):
+                x ^= 1 << rng.randrange(24)  # the free blocks of some layers: the cells of others hold all of them
+            prints.add(x)
+    prints = sorted(prints | {rng.getrandbits(64) for _ in range(200)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    frame_ = spark.createDataFrame([(p,) for p in signed], "fp long")
+    edges = simhash_dedup.links(frame_)
+    got = {r.node: r.root for r in common.components(edges).collect()}
+    want = components(prints)
+    names = {}
+    for p, r in zip(signed, want, strict=True):
+        assert names.setdefault(r, got.get(p, p)) == got.get(p, p)
+    assert len(set(names.values())) == len(set(want)) and max(want.count(r) for r in set(want)) > 200
+
+
 def test_representatives(spark):
     rows = [(1, "one two three four"), (2, "one two three four"), (2, "one two three four"), (5, "x y z w v u"), (None, "one two three four")]
     kept = simhash_dedup.representatives(frame(spark, rows))
