@@ -103,10 +103,11 @@ def workflow_errors(changes: DataFrame, videos: DataFrame) -> DataFrame:
     return rows.select(*asked.columns, error.alias("error"))
 
 
-def update_workflow(videos: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
-    """videos with the valid changes (one a file) applied; a raw file loses its source; two stamps follow."""
+def update_workflow(videos: DataFrame, changes: DataFrame, now: Column, known: DataFrame | None = None) -> DataFrame:
+    """videos with the valid changes (one a file) applied; a raw file loses its source; two stamps follow. known: the
+    whole catalogue that changes are judged against, where videos is a part of it."""
     held = ["asset_type", "workflow_stage", "source_file_id", "workflow_notes", "workflow_updated_at", "reviewed_at"]
-    good = workflow_errors(changes, videos).where("error is null").withColumns({"workflow_updated_at": now, "reviewed_at": now})
+    good = workflow_errors(changes, videos if known is None else known).where("error is null").withColumns({"workflow_updated_at": now, "reviewed_at": now})
     new = good.select("file_id", F.struct(*held).alias("_w"))
     rows = videos.join(new, "file_id", "left")
     value = lambda c: F.when(F.col("_w").isNotNull(), F.col(f"_w.{c}")).otherwise(F.col(c))

@@ -131,8 +131,6 @@ query("cascade_delete_labels", lambda t: _deleted(t)["labels"].select("id", "nam
 # ---- lists as JSON, texts of a page, a file's page
 query("labels_json", lambda t: relations.label_map(t.videos, t.video_labels, t.label_names).select("file_id", F.to_json("labels").alias("json")).select("file_id", "json", F.size(F.from_json("json", "array<string>")).alias("n")),
       "SELECT v.file_id, '[' || coalesce(string_agg('\"' || name || '\"', ',' ORDER BY name), '') || ']' AS json, CAST(count(name) AS INTEGER) AS n FROM videos v LEFT JOIN (SELECT file_id, name FROM video_labels JOIN label_names ON label_id = id) x ON x.file_id = v.file_id GROUP BY 1", "videos", "video_labels", "label_names")
-_MISSING = """array_to_string(list_filter([CASE WHEN coalesce(reviewed_at, '') = '' THEN 'reviewed' END, CASE WHEN trim(coalesce(editorial_title, '')) = '' THEN 'title' END, CASE WHEN trim(coalesce(main_theme, '')) = '' THEN 'theme' END,
-    CASE WHEN trim(coalesce(nullif(speaker, ''), preacher, '')) = '' THEN 'speaker' END, CASE WHEN file_id NOT IN (SELECT file_id FROM video_labels) THEN 'labels' END], lambda x: x IS NOT NULL), ';')"""
 _PAGE = search.SearchRequest(sort_by="file_size", sort_dir="desc")
 query("page_texts", lambda t: relations.decorated(search.page_of(t.videos, _PAGE), t.video_labels, t.label_names, t.history).select("file_id", "size_text", "duration_text", "status"),
       f""", p AS (SELECT *, {_DONE} AS completed, CAST(file_size AS DOUBLE) AS x, CAST(floor(duration_seconds) AS BIGINT) AS s FROM videos ORDER BY file_size DESC, file_name, file_id LIMIT 50)

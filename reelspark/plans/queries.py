@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import enrich, fmt, text, title
 from ..operators import fulltext, graph, merge, relations, search, stats
-from ..schema import INDEXED, SEARCHED, align
+from ..schema import INDEXED, SEARCHED, SORTS, VIDEOS, align, default_of
 from ..sources.adapter import ctes, relation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,7 +222,7 @@ query("url_folder_id", lambda t: t.read("pages").select("page_id", text.folder_i
 _PROBE = ["duration_seconds", "resolution", "fps", "video_codec", "audio_codec", "bitrate", "aspect_ratio", "orientation", "has_audio", "container_format"]
 query("probe_fields", lambda t: fmt.parsed(t.probes, F.col("probe"), "m").select("id", "line", *(f"m.{c}" for c in _PROBE)),
       """, j AS (SELECT id, line, probe, CAST(json_extract(probe, '$.streams[1].width') AS BIGINT) AS w, CAST(json_extract(probe, '$.streams[1].height') AS BIGINT) AS h, json_extract_string(probe, '$.streams[1].avg_frame_rate') AS r FROM probes)
-      SELECT id, line, CAST(json_extract_string(probe, '$.format.duration') AS DOUBLE) AS duration_seconds, w || 'x' || h AS resolution, CASE r WHEN '30000/1001' THEN 29.97::DOUBLE WHEN '25/1' THEN 25::DOUBLE END AS fps, 'h264' AS video_codec, coalesce(json_extract_string(probe, '$.streams[2].codec_name'), '') AS audio_codec, CAST(json_extract_string(probe, '$.format.bit_rate') AS BIGINT) AS bitrate, (w // gcd(w, h)) || ':' || (h // gcd(w, h)) AS aspect_ratio, CASE WHEN h > w THEN 'portrait' ELSE 'landscape' END AS orientation, json_extract(probe, '$.streams[2]') IS NOT NULL AS has_audio, 'mov' AS container_format FROM j""", "probes")
+      SELECT id, line, CAST(json_extract_string(probe, '$.format.duration') AS DOUBLE) AS duration_seconds, w || 'x' || h AS resolution, CASE WHEN CAST(split_part(r, '/', 2) AS DOUBLE) <> 0 THEN round_even(CAST(split_part(r, '/', 1) AS DOUBLE) / CAST(split_part(r, '/', 2) AS DOUBLE), 2) END AS fps, json_extract_string(probe, '$.streams[1].codec_name') AS video_codec, coalesce(json_extract_string(probe, '$.streams[2].codec_name'), '') AS audio_codec, CAST(json_extract_string(probe, '$.format.bit_rate') AS BIGINT) AS bitrate, (w // gcd(w, h)) || ':' || (h // gcd(w, h)) AS aspect_ratio, CASE WHEN h > w THEN 'portrait' ELSE 'landscape' END AS orientation, json_extract(probe, '$.streams[2]') IS NOT NULL AS has_audio, json_extract_string(probe, '$.format.format_name') AS container_format FROM j""", "probes")
 query("owner_fallback", lambda t: t.videos.select("file_id", text.first_of(F.col("speaker"), F.col("preacher"), F.col("owner")).alias("owner")),
       "SELECT file_id, coalesce(nullif(speaker, ''), nullif(preacher, ''), owner) AS owner FROM videos", "videos")
 query("event_props", lambda t: t.read("events").select("event_id", F.from_json("props", "k long")["k"].alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -270,7 +271,7 @@ query("semantic_tags", _rules(lambda n: n.select("id", F.array_join(enrich.seman
       _C + f"SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_concat([{_case(enrich.THEMES)}, {_case(enrich.TEACHING_TYPES)}], {_TOPICS}), lambda t: t <> ''))), '; ') AS tags FROM cx", "names")
 query("bible_refs", lambda t: t.names.select("id", F.array_join(enrich.references(F.concat_ws(" ", "file_name", "folder_path")), "; ").alias("refs")),
       _C + f", rr AS (SELECT id, regexp_extract_all(raw, '(?i){enrich.REFERENCE}') AS r FROM cx) SELECT id, array_to_string(list_filter(r, lambda v, i: list_position(list_transform(r, lambda y: lower(y)), lower(v)) = i)[1:25], '; ') AS refs FROM rr", "names")
-query("ministry", lambda t: t.names.select("id", F.coalesce(enrich.ministry(F.col("folder_path")), F.lit("")).alias("ministry")), "SELECT id, split_part(folder_path, '/', 2) AS ministry FROM names", "names")
+query("ministry", lambda t: t.names.select("id", F.coalesce(enrich.ministry(F.col("folder_path")), F.lit("")).alias("ministry")), "SELECT id, CASE WHEN length(split_part(folder_path, '/', 2)) <= 60 THEN trim(split_part(folder_path, '/', 2)) ELSE '' END AS ministry FROM names", "names")
 query("label_key", lambda t: t.read("documents").select("doc_id", text.label_key(F.col("text")).alias("k")),
       r"SELECT doc_id, trim(regexp_replace(replace(strip_accents(lower(text)), 'ß', 'ss'), '\s+', ' ', 'g')) AS k FROM documents")
 query("term_key", lambda t: t.read("conversations").select("conv_id", "turn", text.term_key(F.col("text")).alias("k")),
@@ -312,10 +313,26 @@ _DONE = (
     f"CAST(coalesce(reviewed_at, '') <> '' AS INT) + CAST(trim(coalesce(editorial_title, '')) <> '' AS INT) + CAST(trim(coalesce(main_theme, '')) <> '' AS INT) "
     f"+ CAST(trim(coalesce(nullif(speaker, ''), preacher, '')) <> '' AS INT) + CAST({LABELLED} AS INT)"
 )
-query("completeness", lambda t: stats.completeness(t.videos, t.video_labels).select("file_id", "completed", "total", "status"),
-      f", c AS (SELECT file_id, {_DONE} AS completed FROM videos) SELECT file_id, completed, 5 AS total, CASE WHEN completed = 5 THEN 'complete' WHEN completed <= 1 THEN 'missing' ELSE 'partial' END AS status FROM c", "videos", "video_labels")
+_MISSING = f"array_to_string(list_filter([CASE WHEN coalesce(reviewed_at, '') = '' THEN 'type_et_statut_confirmes' END, CASE WHEN trim(coalesce(editorial_title, '')) = '' THEN 'titre' END, CASE WHEN trim(coalesce(main_theme, '')) = '' THEN 'theme' END, CASE WHEN trim(coalesce(nullif(speaker, ''), preacher, '')) = '' THEN 'intervenant' END, CASE WHEN NOT {LABELLED} THEN 'label' END], lambda x: x IS NOT NULL), ';')"
+query("completeness", lambda t: stats.completeness(t.videos, t.video_labels).select("file_id", "completed", "total", "status", F.array_join("missing", ";").alias("missing")),
+      f", c AS (SELECT file_id, {_DONE} AS completed, {_MISSING} AS missing FROM videos) SELECT file_id, missing, completed, 5 AS total, CASE WHEN completed = 5 THEN 'complete' WHEN completed <= 1 THEN 'missing' ELSE 'partial' END AS status FROM c", "videos", "video_labels")
 query("video_page_decorated", lambda t: relations.decorated(search.page_of(t.videos, search.SearchRequest(sort_by="file_size", sort_dir="desc")), t.video_labels, t.label_names, t.history).select("file_id", "completed", F.array_join("labels", ";").alias("labels"), "last_edit_by", "is_new"),
       f""", p AS (SELECT * FROM videos ORDER BY file_size DESC, file_name, file_id LIMIT 50), e AS (SELECT file_id, arg_max(user_email, id) AS by FROM history GROUP BY 1), n AS (SELECT file_id, string_agg(name, ';' ORDER BY name) AS names FROM video_labels JOIN label_names ON label_id = id GROUP BY 1)
       SELECT p.file_id, {_DONE.replace('file_id IN', 'p.file_id IN')} AS completed, coalesce(names, '') AS labels, e.by AS last_edit_by, coalesce(reviewed_at, '') = '' AS is_new FROM p LEFT JOIN e ON e.file_id = p.file_id LEFT JOIN n ON n.file_id = p.file_id""", "videos", "video_labels", "label_names", "history")
-query("aligned_catalogue", lambda t: align(t.videos, fill=True).select("file_id", "editorial_title", "speaker", "scan_status", "owner", "bitrate"),
-      "SELECT file_id, coalesce(editorial_title, '') AS editorial_title, coalesce(speaker, '') AS speaker, 'indexed' AS scan_status, owner, CAST(NULL AS BIGINT) AS bitrate FROM videos", "videos")
+
+
+def _aligned(c: T.StructField) -> str:
+    """A catalogue column over the videos relation, as SQL: its default where it is missing or null."""
+    kind = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}[c.dataType.simpleString()]
+    default = "CAST(NULL AS " + kind + ")" if default_of(c.name) is None else f"CAST('{default_of(c.name)}' AS {kind})"
+    return f"coalesce(CAST({c.name} AS {kind}), {default}) AS {c.name}" if f" AS {c.name}" in ctes("videos") else f"{default} AS {c.name}"
+
+
+_ALIGNED = "SELECT " + ", ".join(map(_aligned, VIDEOS)) + " FROM videos"
+query("aligned_catalogue", lambda t: align(t.videos, fill=True), _ALIGNED, "videos")
+for _column, _nocase in SORTS.items():
+    _key = f"translate({_column}, '{UP}', '{LOW}')" if _nocase else _column
+    query(f"sort_by_{_column}", lambda t, c=_column: search.page_of(align(t.videos, fill=True), search.SearchRequest(sort_by=c, page=2, page_size=25)).select("file_id", c),
+          f", a AS ({_ALIGNED}) SELECT file_id, {_column} FROM a ORDER BY {_key} NULLS FIRST, file_name, file_id LIMIT 25 OFFSET 25", "videos")
+query("table_columns", lambda t: t.spark.createDataFrame([(i, c) for i, c in enumerate(t.read("documents").columns)], "place int, name string"),
+      "SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS place, column_name AS name FROM (DESCRIBE SELECT * FROM documents)")
