@@ -63,7 +63,7 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    _collect(spark)
+    collect_garbage(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed_at = path
     return out
@@ -72,10 +72,10 @@ def stash(df: DataFrame, what: str) -> DataFrame:
 _collected = [0.0]
 
 
-def _collect(spark: SparkSession) -> None:
+def collect_garbage(spark: SparkSession, now: bool = False) -> None:
     """Now and then have the driver's JVM collect garbage: Spark frees the shuffle files of finished jobs when their
     plans are collected."""
-    if time.monotonic() - _collected[0] > 3:
+    if now or time.monotonic() - _collected[0] > 3:
         spark._jvm.System.gc()
         _collected[0] = time.monotonic()
 
@@ -160,7 +160,6 @@ def one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) ->
     """docs with one row of each group: rows (doc_id, k, root) names the group root of every row of docs, k being
     xxhash64 of its text. The row of the least (doc_id, k) stays; rows without an id stay. The columns of docs travel
     as one struct, so none can clash with ours."""
-    rows = stash(rows, "groups")
     names = rows.where("doc_id is not null").groupBy("root", "doc_id", "k").agg(F.count("*").alias("rows"))
     least = names.groupBy("root").agg(F.min(F.struct("doc_id", "k", "rows")).alias("m"))
     least = stash(least.select(F.col("m.doc_id").alias("kept"), F.col("m.k").alias("kept_k"), F.col("m.rows").alias("rows")), "least")

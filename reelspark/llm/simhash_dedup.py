@@ -147,5 +147,5 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs without near duplicates: of each component the row with the smallest id stays (of rows that
     repeat this id, the least by a hash of the text); rows without an id stay."""
     prints = stash(fingerprints(docs, id_col, text_col, hashed=True), "fingerprints")
-    rows = prints.join(_rooted(prints, most), "fp").select("doc_id", "k", "root")
+    rows = stash(prints.join(_rooted(prints, most), "fp").select("doc_id", "k", "root"), "groups")
     return one_of_each(docs, rows, id_col, text_col)
