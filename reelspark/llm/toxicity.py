@@ -110,9 +110,11 @@ def fit(texts: Iterable[str | None], marks: list[int], epochs: int = 200, least:
     for j in range(3):
         both = np.unique(pairs // len(names) * SLOTS + where[pairs % len(names), j]) if len(pairs) else pairs
         seen += np.bincount(both % SLOTS, minlength=SLOTS)
+    many = len(names)
+    del names, pairs
     keep = seen >= least
     useful = np.flatnonzero(keep[where].any(axis=1)) if len(where) else np.zeros(0, np.int64)
-    dense = np.full(len(names), -1, np.int64)
+    dense = np.full(many, -1, np.int32)
     dense[useful] = np.arange(len(useful))
     words = dense[words] if len(words) else words
     sentence, words = sentence[words >= 0], words[words >= 0]
