@@ -7,7 +7,6 @@ import os
 import re
 import sys
 import tempfile
-import time
 import uuid
 
 from pyspark import cloudpickle
@@ -57,29 +56,26 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+#: Frees the shuffle files of a query once it has ended, which nothing reads any more after its result is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, what: str) -> DataFrame:
     """Write df once to the shared folder as Parquet and read it back: cuts lineage, survives lost executors,
     and gives the planner true sizes. The files go by discard(), or when the driver's Python ends."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
-    collect_garbage(spark)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed_at = path
     return out
 
 
-_collected = [0.0]
-
-
-def collect_garbage(spark: SparkSession, now: bool = False) -> None:
-    """Now and then have the driver's JVM collect garbage: Spark frees the shuffle files of finished jobs when their
-    plans are collected."""
-    if now or time.monotonic() - _collected[0] > 3:
-        spark._jvm.System.gc()
-        _collected[0] = time.monotonic()
-
-
 def discard(*frames: DataFrame) -> None:
     """Delete the files of stashed frames that no later step reads."""
     for df in frames:

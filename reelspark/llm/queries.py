@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, packing, simhash_dedup, substring_dedup, suffix_array_dedup, topk_search, toxicity, url_filter, warc
+from . import decontam, jaccard_join, line_dedup, packing, periodic_runs, ranked_search, simhash_dedup, substring_dedup, suffix_array_dedup, topk_search, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,24 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), edit=periodic_runs.cycled)
+    best = ["start", "length", "period", "exponent_milli"]
+    return out.select("doc_id", "n_runs", *best, F.sha2(periodic_runs.runs_text("runs"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_line_dedup, op3_exact_top_k, op4_substring_dedup, op5_suffix_array_dedup,
     op6_url_filter, op7_warc, op8_best_fit_packing, op9_toxicity, op10_benchmark_decontamination,
+    op11_jaccard_join, op12_ranked_search, op13_periodic_runs,
 )}
 
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -140,5 +155,28 @@ hits AS (
     SELECT d.id AS doc_id, b.id AS item_id, count(*) AS found
     FROM shingles d JOIN shingles b ON d.kind = 'd' AND b.kind = 'b' AND d.k = b.k AND d.s = b.s GROUP BY d.id, b.id)
 SELECT doc_id, item_id, n AS n_shingles, found AS n_found FROM hits JOIN n ON n.id = item_id WHERE found * 100 >= n * 80
+""",
+    "op12_ranked_search": f"""
+WITH parted AS (
+    SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+words AS (
+    SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', lower('{UPPER}')),
+           '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM parted),
+docs AS (SELECT id AS doc_id, len(w) AS n, w FROM words WHERE kind = 'd' AND len(w) > 0),
+whole AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM docs),
+asked AS (SELECT id AS item_id, t, count(*) AS c FROM (SELECT id, unnest(w) AS t FROM words WHERE kind = 'b') GROUP BY id, t),
+posted AS (
+    SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM docs)
+    WHERE t IN (SELECT t FROM asked) GROUP BY doc_id, n, t),
+weights AS (
+    SELECT t, CAST(floor(1000 * ln((2 * max(big_n) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM posted, whole GROUP BY t),
+scores AS (
+    SELECT item_id, doc_id,
+           CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score
+    FROM asked JOIN posted USING (t) JOIN weights USING (t), whole GROUP BY item_id, doc_id),
+r AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
 """,
 }

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from reelspark.llm import near_copies
+from reelspark.llm import jaccard_join, near_copies
 
 
 def shingles(text, width=5):
@@ -59,8 +59,8 @@ def kept(rows):
 @pytest.mark.parametrize(("seed", "hot"), [(1, 64), (2, 3)])
 def test_stage_equals_brute_force_jaccard(spark, monkeypatch, seed, hot):
     if hot < 64:
-        monkeypatch.setattr(near_copies, "LARGE", 2)
-        monkeypatch.setattr(near_copies, "BLOCK", 5)
+        monkeypatch.setattr(jaccard_join, "LARGE", 2)
+        monkeypatch.setattr(jaccard_join, "BLOCK", 5)
     rows = corpus(seed)
     assert len({i for i, _ in rows}) == len(rows)
     docs = spark.createDataFrame([(i, t, None, "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
@@ -74,7 +74,7 @@ def test_parities_bound_the_difference():
     for n, m, both in ((0, 0, 0), (1, 1, 1), (120, 135, 118), (127, 130, 125), (500, 400, 380), (3000, 5000, 2500), (40, 9000, 30)):
         values = rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
         one, two = values[:n], values[n - both :]
-        far = near_copies.apart(near_copies.parities(one), near_copies.parities(two))
-        assert far <= n + m - 2 * both and far == near_copies.apart(near_copies.parities(two), near_copies.parities(one))
+        far = jaccard_join.apart(jaccard_join.parities(one), jaccard_join.parities(two))
+        assert far <= n + m - 2 * both and far == jaccard_join.apart(jaccard_join.parities(two), jaccard_join.parities(one))
         if both and n + m > 2 * both and abs(n - m) < n:
             assert far > 0.5 * (n + m - 2 * both)
