@@ -34,12 +34,13 @@ def fold_text(text: str) -> str:
     return text.lower().translate(str.maketrans(MARKED, PLAIN))
 
 
-def token_index(videos: DataFrame, columns: list[str] = INDEXED) -> DataFrame:
-    """(file_id, field, pos, token): the words of all indexed columns."""
+def token_index(videos: DataFrame, columns: list[str] = INDEXED, keep: list[str] | None = None) -> DataFrame:
+    """(file_id, field, pos, token): the words of all indexed columns; keep: the columns that come along instead of file_id."""
+    keep = keep or ["file_id"]
     texts = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns if c in videos.columns))
-    rows = videos.select("file_id", F.explode(texts).alias("t")).where(F.col("t.text").isNotNull() & (F.col("t.text") != ""))
+    rows = videos.select(*keep, F.explode(texts).alias("t")).where(F.col("t.text").isNotNull() & (F.col("t.text") != ""))
     words = F.filter(F.split(folded(F.col("t.text")), r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
-    return rows.select("file_id", "t.field", F.posexplode(words).alias("pos", "token"))
+    return rows.select(*keep, "t.field", F.posexplode(words).alias("pos", "token"))
 
 
 def refresh(index: DataFrame, changed: DataFrame) -> DataFrame:
@@ -161,7 +162,7 @@ class Parser:
         return Phrase(words, prefix=self.take("*"), first=first, column=column)
 
 
-def _phrases(node, out: list[Phrase]) -> list[Phrase]:
+def phrases_of(node, out: list[Phrase]) -> list[Phrase]:
     """All phrases of a query that occurrences are looked for, NEAR's parts too."""
     if isinstance(node, Phrase):
         if node.near is None:
@@ -171,8 +172,8 @@ def _phrases(node, out: list[Phrase]) -> list[Phrase]:
                 part.column = part.column or node.column
                 out.append(part)
     else:
-        _phrases(node[1], out)
-        _phrases(node[2], out)
+        phrases_of(node[1], out)
+        phrases_of(node[2], out)
     return out
 
 
@@ -222,7 +223,7 @@ def search_index(index: DataFrame, query: str) -> DataFrame:
     if not query.strip():
         raise QuerySyntaxError("an empty query")
     tree = Parser(query).parse()
-    phrases, nears = _phrases(tree, []), _nears(tree, [])
+    phrases, nears = phrases_of(tree, []), _nears(tree, [])
     found = occurrences(index, phrases)
     sizes = [len(p.words) for p in phrases]
     number = {id(p): n for n, p in enumerate(phrases)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -99,9 +100,9 @@ def conditions(r: SearchRequest) -> list[Column]:
     return out
 
 
-def matches(videos: DataFrame, r: SearchRequest, video_labels: DataFrame, labels: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """All files that a request finds, in no order. Full text is looked up in the stored token index, where one is
-    given; else the index is made from videos."""
+def matches(videos: DataFrame, r: SearchRequest, video_labels: DataFrame, labels: DataFrame, tokens: DataFrame | Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """All files that a request finds, in no order. Full text is looked up by the stored index's search, or in a token
+    index, where one is given; else a token index is made from videos."""
     out = videos
     for c in conditions(r):
         out = out.where(c)
@@ -112,7 +113,8 @@ def matches(videos: DataFrame, r: SearchRequest, video_labels: DataFrame, labels
     if r.query.strip() and r.full_text:
         from .fulltext import search_index, token_index
 
-        out = out.join(search_index(token_index(videos) if tokens is None else tokens, r.query), "file_id", "left_semi")
+        found = tokens(r.query) if callable(tokens) else search_index(token_index(videos) if tokens is None else tokens, r.query)
+        out = out.join(found, "file_id", "left_semi")
     elif r.query.strip():
         out = text_filter(out, r.query, video_labels, labels)
     return out
@@ -134,7 +136,7 @@ def page_count(total: int, size: int) -> int:
     return max(-(-total // size), 1)
 
 
-def search(videos: DataFrame, r: SearchRequest, video_labels: DataFrame, labels: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+def search(videos: DataFrame, r: SearchRequest, video_labels: DataFrame, labels: DataFrame, tokens: DataFrame | Callable[[str], DataFrame] | None = None) -> DataFrame:
     return page_of(matches(videos, r, video_labels, labels, tokens), r)
 
 

@@ -112,10 +112,10 @@ def _folder_rows(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(F.col("id").alias("folder_id"), F.coalesce("name", "id").alias("folder_name"), url.alias("folder_url"), (~is_blank(F.col("driveId"))).alias("shared_drive"), *more)
 
 
-def reachable(items: DataFrame, roots: DataFrame) -> DataFrame:
-    """(folder_id, level) reachable from roots (folder_id): breadth first over folder items and shortcuts to folders,
-    each folder once, until a level brings none; every level is written before the next."""
-    links = routed(items.where(~F.coalesce("trashed", F.lit(False)))).where("route = 'folder'")
+def reachable(items: DataFrame, roots: DataFrame, follow_shortcuts: bool = True) -> DataFrame:
+    """(folder_id, level) reachable from roots (folder_id): breadth first over folder items and, if they are followed,
+    shortcuts to folders, each folder once, until a level brings none; every level is written before the next."""
+    links = routed(items.where(~F.coalesce("trashed", F.lit(False))), follow_shortcuts).where("route = 'folder'")
     links = checkpointed(links.select(F.col("listed_folder_id").alias("folder_id"), F.col("file_id").alias("child")).distinct())
     seen = checkpointed(roots.select("folder_id").distinct().withColumn("level", F.lit(0)))
     depth = 0
@@ -132,7 +132,7 @@ def reachable(items: DataFrame, roots: DataFrame) -> DataFrame:
 def crawl(items: DataFrame, roots: DataFrame, follow_shortcuts: bool = True) -> DataFrame:
     """The routed video items that the folders reachable from roots list. One listed in several places comes as often."""
     live = routed(items.where(~F.coalesce("trashed", F.lit(False))), follow_shortcuts).where("route = 'video'")
-    return live.join(reachable(items, roots).select(F.col("folder_id").alias("listed_folder_id")), "listed_folder_id", "left_semi")
+    return live.join(reachable(items, roots, follow_shortcuts).select(F.col("folder_id").alias("listed_folder_id")), "listed_folder_id", "left_semi")
 
 
 def to_probe(size: Column, most_mb: float, enabled: bool = True) -> Column:
@@ -145,9 +145,10 @@ def owner_of(owners: Column) -> Column:
     return first_of(o["emailAddress"], o["displayName"])
 
 
-def records(videos: DataFrame, paths: DataFrame, drives: DataFrame, now: str) -> DataFrame:
+def records(videos: DataFrame, paths: DataFrame, drives: DataFrame, now: str, most_mb: float | None = None) -> DataFrame:
     """Catalogue rows of routed video items; paths (id, path), drives (id, name). A size that is no number
-    sets scan_status to error instead of stopping the scan."""
+    sets scan_status to error instead of stopping the scan. most_mb: files that the probe gate of this size keeps out have
+    no probe; None: there is no gate, listings bring probes as they are."""
     p = paths.select(F.col("id").alias("listed_folder_id"), "path")
     d = drives.select(F.col("id").alias("driveId"), F.col("name").alias("drive"))
     rows = videos.join(p, "listed_folder_id", "left").join(d, "driveId", "left")
@@ -161,7 +162,7 @@ def records(videos: DataFrame, paths: DataFrame, drives: DataFrame, now: str) ->
         F.coalesce("createdTime", F.lit("")).alias("created_at"), F.coalesce("modifiedTime", F.lit("")).alias("modified_at"),
         F.lit(now).alias("last_scanned_at"), F.when(size.isNull(), "error").otherwise("indexed").alias("scan_status"),
         F.when(size.isNull(), "size is no number").otherwise("").alias("error_message"), "scan_seq",
-        F.coalesce("probe", F.lit("{}")).alias("_probe"),
+        (F.coalesce("probe", F.lit("{}")) if most_mb is None else F.when(to_probe(size, most_mb), F.coalesce("probe", F.lit("{}"))).otherwise("{}")).alias("_probe"),
     )
     return parsed(rows, F.col("_probe"), "_media").select("*", "_media.*").drop("_media", "_probe")
 

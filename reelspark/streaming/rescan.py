@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.fulltext import refresh, token_index
+from ..operators.inverted import TextIndex
 from ..operators.merge import assign_ids, changed, last_of, upsert
 from ..schema import VIDEOS, align
-from ..session import checkpointed
+from ..session import checkpointed, scratch
 from ..sources.listing import ITEM, enriched, records, routed, scan_counts
-from ..sources.store import Store
+from ..sources.seed import Settings
+from ..sources.store import Store, Transaction
 
+#: The catalogue's full-text index.
+INDEX = TextIndex()
 IDS = "id long, file_id string, internal_video_id string"
 
 
@@ -25,36 +28,41 @@ def outcomes(rows: DataFrame, state: DataFrame, full: bool = False) -> DataFrame
     return rows.join(todo, "file_id", "left").withColumn("outcome", outcome).drop("_d")
 
 
-def ingest(store: Store, items: DataFrame, paths: DataFrame, drives: DataFrame, now: str, full: bool = False) -> DataFrame:
-    """Merge a batch of listing items: route, skip what hasn't changed (unless full), enrich, number, upsert,
-    index. Returns one row of counts. Only the buckets that changed files fall into are read and written anew, and only
-    changed files are tokenised. The tables' new versions appear one after another, the tokens last; a batch that is
-    run again after a failure comes to the same tables."""
-    found = routed(items.where(~F.coalesce("trashed", F.lit(False)))).where("route = 'video'")
-    rows = checkpointed(last_of(records(found, paths, drives, now), "file_id", "scan_seq"))
-    rows = checkpointed(outcomes(rows, store.read("videos", VIDEOS, buckets=store.touched(rows)), full))
+def ingest(t: Transaction, items: DataFrame, paths: DataFrame, drives: DataFrame, now: str, full: bool = False, settings: Settings | None = None) -> dict:
+    """Merge a batch of listing items, within a transaction: route, skip what hasn't changed (unless full), enrich, number,
+    upsert, index. Returns the counts. Only the buckets that changed files fall into are read and written anew, and
+    only changed files are tokenised. All tables change together, and a batch that is run again after a failure comes to the
+    same tables. settings: whether shortcuts are followed, and up to which size a file keeps its probe."""
+    settings = settings or Settings()
+    found = routed(items.where(~F.coalesce("trashed", F.lit(False))), settings.follow_shortcuts).where("route = 'video'")
+    rows = checkpointed(last_of(records(found, paths, drives, now, settings.max_download_mb), "file_id", "scan_seq"))
+    # a file that is skipped is left as it is, so what its bucket held may change meanwhile
+    rows = checkpointed(outcomes(rows, t.read("videos", VIDEOS, t.touched("videos", rows), tracked=False), full))
     todo = rows.where("outcome = 'indexed'").drop("outcome")
-    touched = store.touched(todo)
-    known = store.read("video_ids", T.StructType.fromDDL(IDS))
-    high = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
-    held = known if touched == [] else store.read("video_ids", T.StructType.fromDDL(IDS), buckets=touched)
-    ids = held.unionByName(assign_ids(todo, held, high))
-    if touched:
-        store.write("video_ids", ids, touched)
-        names = store.read("video_ids", buckets=touched).select("file_id", "internal_video_id")
+    near = {name: t.touched(name, todo) for name in ("videos", "video_ids")}
+    if near["videos"]:
+        schema = T.StructType.fromDDL(IDS)
+        high = t.read("video_ids", schema).agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
+        held = t.read("video_ids", schema, near["video_ids"])
+        t.write("video_ids", held.unionByName(assign_ids(todo, held, high)), near["video_ids"])
+        names = t.read("video_ids", buckets=near["video_ids"]).select("file_id", "internal_video_id")
         numbered = align(enriched(todo)).drop("internal_video_id").join(names, "file_id", "left")
-        current = store.read("videos", VIDEOS, buckets=touched)
-        store.write("videos", upsert(current, numbered.select(*current.columns), now=F.lit(now)), touched)
-        merged = store.read("videos", buckets=touched).join(todo.select("file_id"), "file_id", "left_semi")
-        empty = token_index(merged.limit(0)).schema
-        store.write("tokens", refresh(store.read("tokens", empty, buckets=touched), merged), touched)
-    return scan_counts(rows)
+        current = t.read("videos", VIDEOS, near["videos"])
+        t.write("videos", upsert(current, numbered.select(*current.columns), now=F.lit(now)), near["videos"])
+        merged = t.read("videos", buckets=near["videos"]).join(todo.select("file_id"), "file_id", "left_semi")
+        INDEX.add(t, merged)
+    return scan_counts(rows).first().asDict()
 
 
-def start(spark: SparkSession, landing: str, store: Store, paths: DataFrame, drives: DataFrame, checkpoint: str, now: str, once: bool = True) -> StreamingQuery:
+def start(spark: SparkSession, landing: str, store: Store, paths: DataFrame, drives: DataFrame, checkpoint: str, now: str, once: bool = True, settings: Settings | None = None) -> StreamingQuery:
     """Follow a landing folder. The checkpoint keeps what was read; a batch that is run again merges to the same
-    catalogue, as the upsert is idempotent."""
+    catalogue, as the upsert is idempotent. Every batch is one transaction."""
     stream = spark.readStream.schema(ITEM).json(landing)
-    writer = stream.writeStream.foreachBatch(lambda df, _: ingest(store, df, paths, drives, now).collect() and None)
+
+    def merge(batch: DataFrame, _: int) -> None:
+        with scratch(batch.sparkSession):
+            store.transact(lambda t: ingest(t, batch, paths, drives, now, settings=settings))
+
+    writer = stream.writeStream.foreachBatch(merge)
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

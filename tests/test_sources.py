@@ -82,17 +82,18 @@ def test_sort_is_checked():
 def test_store_rewrites_only_touched_buckets(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s", buckets=4)
     df = spark.createDataFrame([(f"f{i}", i) for i in range(40)], "file_id string, n int")
-    store.write("t", df)
+    assert store.write("t", df) == 1
     some = df.where("file_id = 'f7'")
-    touched = store.touched(some)
+    touched = store.snapshot().touched("t", some)
     held = store.read("t", buckets=touched)
     assert len(touched) == 1 and 0 < held.count() < 40
+    before = store.snapshot()
     store.write("t", held.withColumn("n", -F.col("n")), touched)
     got = {r.file_id: r.n for r in store.read("t").collect()}
     assert len(got) == 40 and got["f7"] == -7 and sum(n >= 0 for n in got.values()) > 20
-    assert store.read("t", version=1).where("n < 0").count() == 0
+    assert store.read("t", version=1).where("n < 0").count() == before.read("t").where("n < 0").count() == 0
     store.write("t", held.limit(0), touched)
-    assert store.read("t").count() == 40 - held.count() and store.schema("none") is None
+    assert store.read("t").count() == 40 - held.count() and store.snapshot().schema("none") is None
     assert store.read("none", VIDEOS).count() == 0
 
 
