@@ -82,13 +82,20 @@ def discard(*frames: DataFrame) -> None:
         forget(df.sparkSession, df._stashed_at)
 
 
-def trim() -> None:
-    """Give memory that a finished partition has freed back to the system: Python workers live on."""
+def trim(least: int = 300 << 20) -> None:
+    """Give memory that a finished partition has freed back to the system, where the process holds more than ``least``
+    bytes: Python workers live on."""
     import ctypes
     import gc
 
     import pyarrow as pa
 
+    try:
+        with open("/proc/self/statm") as f:
+            if int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < least:
+                return
+    except OSError:  # no such system
+        pass
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
