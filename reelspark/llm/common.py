@@ -82,7 +82,7 @@ def discard(*frames: DataFrame) -> None:
         forget(df.sparkSession, df._stashed_at)
 
 
-def trim(least: int = 300 << 20) -> None:
+def trim(least: int = 160 << 20) -> None:
     """Give memory that a finished partition has freed back to the system, where the process holds more than ``least``
     bytes: Python workers live on."""
     import ctypes
@@ -143,7 +143,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Neighbour minimum plus pointer jumping, so rounds grow with the logarithm of the diameter. Each round is
     joins and a pre-aggregated minimum; labels are written and the round's before deleted, and only one flag reaches
-    the driver.
+    the driver. The result is a stash, to be discarded like any.
     """
     both = stash(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "links")
     labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("r")), "labels")
@@ -155,7 +155,9 @@ def components(edges: DataFrame) -> DataFrame:
         discard(labels)
         if not step.where("r <> was").limit(1).count():
             discard(both)
-            return step.select(F.col("a").alias("node"), F.col("r").alias("root"))
+            out = step.select(F.col("a").alias("node"), F.col("r").alias("root"))
+            out._stashed_at = step._stashed_at
+            return out
         labels = step
 
 

@@ -212,8 +212,9 @@ def similar_sets(sets: DataFrame, percent: int, hot: int) -> DataFrame:
     context = sets.sparkSession.sparkContext
     marks = stash(sets.groupBy("s").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "marks")
     rows = prefixes(sets, percent).groupBy("h").agg(F.count("*").alias("rows")).where(F.col("rows") > hot)
-    often = stash(rows.orderBy(F.desc("rows"), "h").limit(MOST_HOT), "often").collect()
-    last = None
+    held = stash(rows.orderBy(F.desc("rows"), "h").limit(MOST_HOT), "often")
+    often, last = held.collect(), None
+    discard(held)
     if often:
         often.sort(key=lambda r: r.h)
         h, count = np.array([r.h for r in often], np.int64), np.array([r.rows for r in often], np.int64)
@@ -240,7 +241,7 @@ def similar_sets(sets: DataFrame, percent: int, hot: int) -> DataFrame:
             break
         was = [x for x in (edges, roots) if x is not None]
         edges = found if edges is None else stash(edges.union(found), "edges")
-        roots = stash(components(edges), "roots")
+        roots = components(edges)
         discard(*was, *([found] if found is not edges else []))
     named = stash(_named(held, roots), "named")
     discard(shared, held, roots)
@@ -258,7 +259,7 @@ def similar_sets(sets: DataFrame, percent: int, hot: int) -> DataFrame:
         more.append(stash(in_blocks(many, whole, percent, last), "joining"))
         discard(ends, whole)
     joined = more[0].union(more[1]) if len(more) == 2 else more[0].union(more[1]).union(more[2])
-    every = stash(components(joined), "every")
+    every = components(joined)
     discard(marks, named, left, *more)
     return every
 

@@ -241,6 +241,7 @@ def ranked(items: DataFrame, docs: DataFrame, item_col: str = "item_id", item_te
         names = mine.select(F.col("place").alias("p"), "item_id")
         found.append(stash(top.join(names, F.col("place") == F.col("p")).select("item_id", "rank", "doc_id", "score"), "ranked"))
         discard(index, stored)
+    discard(asked)
     if not found:
         return docs.sparkSession.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
     return reduce(DataFrame.unionByName, found)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, one_of_each, ship, stash, trim
+from .common import components, discard, one_of_each, ship, stash, trim
 
 ship(__name__)
 
@@ -104,7 +104,7 @@ def links(fps: DataFrame, most: int = 2, cell_limit: int = 200) -> DataFrame:
     same = (small["layer"] == other["layer"]) & (small["cell"] == other["cell"])
     pairs = small.join(other, same & near).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
     if not sizes.where(F.col("n") > cell_limit).limit(1).count():
-        return pairs.distinct()
+        return _of(sizes, pairs.distinct())
     masks = [(k, _signed(~(1 << x | 1 << y) & (1 << 64) - 1)) for k, (_, free) in enumerate(grid) for x, y in combinations(free, 2)]
     masks = F.broadcast(fps.sparkSession.createDataFrame(masks, "layer int, mask long"))  # some 3000 rows, always
     big = held.where(F.col("n") > cell_limit).select("layer", "fp")
@@ -114,7 +114,13 @@ def links(fps: DataFrame, most: int = 2, cell_limit: int = 200) -> DataFrame:
     star = starred.join(centres, key).where("fp <> a").select("a", F.col("fp").alias("b"))
     if most < 2:
         star = star.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
-    return pairs.union(star).distinct()
+    return _of(sizes, pairs.union(star).distinct())
+
+
+def _of(stashed: DataFrame, out: DataFrame) -> DataFrame:
+    """out, to be discarded with the stash that it reads."""
+    out._stashed_at = stashed._stashed_at
+    return out
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2) -> DataFrame:
@@ -127,7 +133,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = stash(fingerprints(docs, id_col, text_col), "fingerprints")
     rooted = _rooted(prints, most)
     named = stash(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
-    named = rooted.join(named, "root").select("fp", "component_id")
+    classes = stash(rooted.join(named, "root").select("fp", "component_id"), "classes")
+    discard(rooted, named)
+    named = classes
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -136,16 +144,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _rooted(prints: DataFrame, most: int) -> DataFrame:
     """(fp, first, root): each distinct fingerprint with its least id and its component."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(classes.select("fp"), most))
+    linked = links(classes.select("fp"), most)
+    roots = components(linked)
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    return stash(rooted, "rooted")
+    rooted = stash(rooted, "rooted")
+    discard(linked, roots)
+    return rooted
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2) -> DataFrame:
     """docs without near duplicates: of each component the row with the smallest id stays (of rows that
     repeat this id, the least by a hash of the text); rows without an id stay."""
     prints = stash(fingerprints(docs, id_col, text_col, hashed=True), "fingerprints")
-    rows = stash(prints.join(_rooted(prints, most), "fp").select("doc_id", "k", "root"), "groups")
+    rooted = _rooted(prints, most)
+    rows = stash(prints.join(rooted, "fp").select("doc_id", "k", "root"), "groups")
+    discard(prints, rooted)
     return one_of_each(docs, rows, id_col, text_col)

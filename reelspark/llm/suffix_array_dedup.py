@@ -10,8 +10,6 @@ the left order among those that it agrees with so far to the right: no other one
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,42 +88,73 @@ def deep_shallow(texts: list[bytes], start: int = 0) -> list[int]:
     return out
 
 
+def splits(shared: list[int]) -> list[tuple[int, int, int]]:
+    """(first, last, place) of the stretches of suffixes, the whole first, each with the place at which its least shared
+    prefix parts it: the Cartesian tree of the common prefixes, from the root down."""
+    left, right, stack = [-1] * len(shared), [-1] * len(shared), []
+    for k, x in enumerate(shared):
+        below = -1
+        while stack and shared[stack[-1]] > x:
+            below = stack.pop()
+        left[k] = below
+        if stack:
+            right[stack[-1]] = k
+        stack.append(k)
+    out, todo = [], [(0, len(shared), stack[0])] if stack else []
+    while todo:
+        first, last, k = todo.pop()
+        out.append((first, last, k))
+        if left[k] >= 0:
+            todo.append((first, k, left[k]))
+        if right[k] >= 0:
+            todo.append((k + 1, last, right[k]))
+    return out
+
+
 def repeats(bodies: list[bytes], places: list[tuple[int, int]], window: int, gram: int) -> dict[int, list[tuple[int, int]]]:
-    """For each body: its windows that also start elsewhere, given the places (body, byte) of their anchor."""
+    """For each body: its windows that also start elsewhere, given the places (body, byte) of their anchor.
+
+    Where suffixes part, those of the smaller side are taken out of a list that is linked in the left order, smallest first:
+    what then stands before one, and after it once all are out, are its neighbours on the other side. Each suffix
+    is taken out as often as the logarithm of their number, at most."""
     right = [bodies[b][p : p + window] for b, p in places]
     left = [bodies[b][max(0, p - window + gram) : p][::-1] for b, p in places]
     order = deep_shallow(right, gram)
-    rank = [0] * len(places)
     by_rank = deep_shallow(left)
+    rank = [0] * len(places)
     for k, i in enumerate(by_rank):
         rank[i] = k
     shared = [common_prefix(right[a], right[b]) for a, b in zip(order, order[1:], strict=False)]
-    parent = list(range(len(places)))
-    sets = [[rank[i]] for i in order]
+    del right
+    n = len(places)
+    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
     out: dict[int, list[tuple[int, int]]] = {}
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    for k in sorted(range(len(shared)), key=lambda k: -shared[k]):
-        r, one, two = shared[k], root(k), root(k + 1)
-        if len(sets[one]) < len(sets[two]):
-            one, two = two, one
-        many = sets[one]
-        for x in sets[two]:
-            at = bisect_left(many, x)
-            for y in many[max(0, at - 1) : at + 1]:
-                i, j = by_rank[x], by_rank[y]
-                agree = common_prefix(left[i], left[j])
-                if agree + r >= window:
-                    for b, p in (places[i], places[j]):
-                        out.setdefault(b, []).append((p - agree, p + r - window + 1))
-        many.extend(sets[two])
-        many.sort()  # two sorted runs: linear
-        parent[two], sets[two] = one, []
+    for first, last, k in splits(shared):
+        r = shared[k]
+        few = range(first, k + 1) if k - first < last - k else range(k + 1, last + 1)
+        ranks = sorted([rank[order[j]] for j in few])
+        ahead, head = [], -1
+        for x in ranks:
+            p, q = before[x], after[x]
+            ahead.append(p)
+            if p >= 0:
+                after[p] = q
+            else:
+                head = q  # at the end, the first of the other side
+            if q >= 0:
+                before[q] = p
+        for x, p in zip(ranks, ahead, strict=True):
+            i = by_rank[x]
+            for y in (p, after[p] if p >= 0 else head):
+                if y >= 0:
+                    j = by_rank[y]
+                    agree = common_prefix(left[i], left[j])
+                    if agree + r >= window:
+                        for b, at in (places[i], places[j]):
+                            out.setdefault(b, []).append((at - agree, at + r - window + 1))
+        for x, y in zip(ranks, ranks[1:], strict=False):
+            after[x], before[y] = y, x
+        before[ranks[0]] = after[ranks[-1]] = -1
     return {b: merged(x) for b, x in out.items()}
 
 

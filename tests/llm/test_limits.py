@@ -1,12 +1,15 @@
 """Inputs at which an operator once did less than the whole job."""
 
+import os
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelspark.llm import anchors, decontam, near_copies, simhash_dedup, topk_search
+from reelspark.llm import anchors, common, decontam, jaccard_join, near_copies, packing, simhash_dedup, suffix_array_dedup, topk_search
+from reelspark.llm.queries import tokenizer_path
 
 
 def test_a_word_longer_than_a_stretch(monkeypatch):
@@ -57,3 +60,25 @@ def test_only_the_leaking_rows_of_an_id_go(spark):
     items = spark.createDataFrame([(0, texts["a"]), (1, texts["d"])], "item_id long, text string")
     got = decontam.clean(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
     assert sorted(map(tuple, got), key=str) == sorted([r for r in rows if r[1] != texts["a"]], key=str)
+
+
+def test_many_places_of_one_byte_in_good_time():
+    """Lines of dashes of every length beyond a window: half a million suffixes that fall together."""
+    bodies = [b"-" * (400 + k) for k in range(1, 1024)]
+    places = [(i, p) for i, b in enumerate(bodies) for p in range(len(b) - 399)]
+    began = time.monotonic()
+    found = suffix_array_dedup.repeats(bodies, places, 400, 400)
+    assert len(places) > 500_000 and found == {i: [(0, len(b) - 399)] for i, b in enumerate(bodies)}
+    assert time.monotonic() - began < 60
+
+
+def test_scratch_goes_with_use(spark):
+    """Of what an operator writes to work with, only what its result still reads is left."""
+    at = common.local_path(common.shared_dir(spark))
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7} that stand here " * 12) for i in range(40)], "doc_id long, text string")
+    for op, most in ((lambda: packing.pack_documents(docs, tokenizer_path()), 2), (lambda: jaccard_join.jaccard_join(docs), 2), (lambda: near_copies.representatives(docs), 2), (lambda: simhash_dedup.near_dedup(docs), 2)):
+        before = set(os.listdir(at))
+        out = op()
+        left = sorted(x.split("-")[1] for x in set(os.listdir(at)) - before)
+        assert len(left) <= most, left
+        assert out.count()

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -188,6 +190,30 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in out if not r.predicted}
 
 
+def test_scores_equal_a_plain_noisy_or(spark):
+    """Every score, of long, odd, null and empty texts too, against sums over sentences worked out one by one."""
+    rows = toxic_corpus(120)
+    docs = [(i, t) for i, t, _ in rows] + [(2000, None), (2001, ""), (2002, "..."), (2003, "no end"), (2004, "ÉTÉ zwxk! \n\n ok?"), (2005, " ".join(f"w{i % 91}" for i in range(200_000)) + ". zwxk."), (None, "zwxk")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(frame, spark.createDataFrame([(i, y) for i, _, y in rows] + [(3, 2), (4, -1)], "doc_id long, toxic int"))
+
+    def plain(text):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]+", (text or "").lower()):
+            z = model.bias
+            for word in re.findall(r"\w+", sentence):
+                for mark, part in ((b"w", word), (b"4", word[:4]), (b"6", word[:6])):
+                    z += float(model.weights[zlib.crc32(mark + part.encode()) % toxicity.SLOTS])
+            clean *= 1 - 1 / (1 + math.exp(-z))
+        return 1 - clean
+
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.score, r.predicted) for r in toxicity.judged(frame, model).collect())
+    want = sorted(((i is None, i or 0), plain(t)) for i, t in docs)
+    assert [k for k, *_ in got] == [k for k, _ in want]
+    assert all(abs(g[1] - w[1]) < 1e-6 and g[2] == int(g[1] >= 0.5) for g, w in zip(got, want, strict=True))
+    assert any(g[2] for g in got) and not all(g[2] for g in got)
+
+
 def test_labels_of_the_held_out_fold_change_nothing(spark):
     rows = toxic_corpus(150)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
