@@ -100,9 +100,10 @@ def conditions(r: SearchRequest) -> list[Column]:
     return out
 
 
-def matches(videos: DataFrame, r: SearchRequest, video_labels: DataFrame, labels: DataFrame, tokens: DataFrame | Callable[[str], DataFrame] | None = None) -> DataFrame:
+def matches(videos: DataFrame, r: SearchRequest, video_labels: DataFrame, labels: DataFrame, tokens: DataFrame | Callable[[str], DataFrame] | None = None, substring: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """All files that a request finds, in no order. Full text is looked up by the stored index's search, or in a token
-    index, where one is given; else a token index is made from videos."""
+    index, where one is given; else a token index is made from videos. substring: what filters files by a pattern
+    instead of text_filter()."""
     out = videos
     for c in conditions(r):
         out = out.where(c)
@@ -116,7 +117,7 @@ def matches(videos: DataFrame, r: SearchRequest, video_labels: DataFrame, labels
         found = tokens(r.query) if callable(tokens) else search_index(token_index(videos) if tokens is None else tokens, r.query)
         out = out.join(found, "file_id", "left_semi")
     elif r.query.strip():
-        out = text_filter(out, r.query, video_labels, labels)
+        out = text_filter(out, r.query, video_labels, labels) if substring is None else substring(out, r.query)
     return out
 
 

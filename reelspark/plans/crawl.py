@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import fulltext, graph, merge, search, stats
-from ..sources import listing, seed
+from ..operators import graph, merge, search, stats
+from ..sources import listing
+from . import stored
 from .queries import _C, _CASED, _I, _T, _TOPICS, Tables, _case, _has, align_searched, enrich, query
 
 FOLDER, SHORTCUT = listing.FOLDER, listing.SHORTCUT
@@ -98,9 +99,23 @@ query("scan_counts_full", _counts(True), _COUNTS.format(new="true"), "items", "d
 query("probe_gate", lambda t: t.videos.select("file_id", listing.to_probe(F.col("file_size"), 1.5).alias("probe"), listing.to_probe(F.col("file_size"), 0).alias("closed")),
       "SELECT file_id, coalesce(file_size, 0) / 1048576 <= 1.5 AS probe, false AS closed FROM videos", "videos")
 query("safe_names", lambda t: t.names.select("id", text.safe_name(F.col("file_name")).alias("safe")), "SELECT id, regexp_replace(file_name, '[^A-Za-z0-9._-]', '_', 'g') AS safe FROM names", "names")
-query("seed_rows", lambda t: seed.seed_files(t.spark).select("file_id", "file_size", "duration_seconds", "scan_status"),
-      "SELECT * FROM (VALUES ('demo-a', CAST(157286400 AS BIGINT), CAST(1800 AS DOUBLE), 'indexed'), ('demo-b', 1073741824, 7200, 'indexed'), ('demo-c', 524288000, 3600, 'indexed')) AS v(file_id, file_size, duration_seconds, scan_status)")
-query("seed_workflow", lambda t: stats.cut_links(seed.seed_workflow(t.spark)[0]), "SELECT CAST(3 AS BIGINT) AS linked_cuts, CAST(0 AS BIGINT) AS unlinked_cuts")
+_OFF = _ROUTED.replace("FROM rt WHERE", "FROM ru WHERE") + _WALK
+query("crawl_folders_unfollowed", lambda t: listing.reachable(_items(t), _root(t), False), _OFF + "SELECT folder_id, CAST(min(level) AS INTEGER) AS level FROM walk GROUP BY 1", "items")
+query("crawl_videos_unfollowed", lambda t: listing.crawl(_items(t), _root(t), False).select("file_id", "listed_folder_id"),
+      _OFF + "SELECT file_id, listed_folder_id FROM ru WHERE route = 'video' AND NOT trashed AND listed_folder_id IN (SELECT folder_id FROM walk)", "items")
+
+
+def _gated(t: Tables) -> DataFrame:
+    probe = F.lit('{"streams":[{"codec_type":"video","width":1920,"height":1080}]}')
+    videos = listing.routed(_items(t).where("not trashed").withColumn("probe", probe)).where("route = 'video'")
+    rows = listing.records(videos, graph.folder_paths(t.folders), t.drives, "2024-01-01 00:00:00", 1.5)
+    return rows.select("file_id", "scan_seq", F.coalesce("resolution", F.lit("")).alias("resolution"))
+
+
+query("dead_letters", stored.dead_letters, f""", judged AS (SELECT id AS source, CASE WHEN scan_seq % 13 = 5 THEN 'malformed' WHEN coalesce(id, '') = '' THEN 'no id' WHEN listed_folder_id IS NULL OR listed_folder_id NOT IN (SELECT id FROM folders) THEN 'no such folder'
+    WHEN coalesce(size, '') <> '' AND TRY_CAST(size AS BIGINT) IS NULL AND coalesce(mime, '') <> '{FOLDER}' THEN 'size is no number' END AS reason FROM items)
+    SELECT source, reason, count(*) AS records FROM judged WHERE reason IS NOT NULL GROUP BY 1, 2""", "items", "folders")
+query("scan_probe_gate", _gated, _ROUTED + _PATHS + "SELECT file_id, scan_seq, CASE WHEN coalesce(file_size, 0) / 1048576 <= 1.5 THEN '1920x1080' ELSE '' END AS resolution FROM rec", "items", "drives", "folders")
 
 # ---- enrichment, whole
 _WHOLE = ["clean_title", "normalized_name", "speaker", "main_theme", "teaching_type", "biblical_topics", "keywords", "bible_references", "semantic_tags", "ministry"]
@@ -117,20 +132,14 @@ query("enriched_rows", lambda t: listing.enriched(t.names).select("id", *_WHOLE)
 
 # ---- full text through the search, and upkeep of the index
 _REQUEST = search.SearchRequest(query="elan OR preacher", full_text=True, asset_type="cut", sort_by="file_size", sort_dir="desc", page_size=40)
-query("fts_search", lambda t: search.search(align_searched(t.videos), _REQUEST, t.video_labels, t.label_names, fulltext.token_index(t.videos)).select("file_id", "file_size"),
+query("fts_search", lambda t: search.search(align_searched(t.videos), _REQUEST, t.video_labels, t.label_names, lambda q: stored.INDEX.search(stored.indexed(t), q)).select("file_id", "file_size"),
       _I + f"SELECT file_id, file_size FROM videos WHERE asset_type = 'cut' AND file_id IN ({_has('token IN (' + repr('elan') + ', ' + repr('preacher') + ')')}) ORDER BY file_size DESC NULLS LAST, file_name, file_id LIMIT 40", "videos")
 _BLANK = search.SearchRequest(query=" ", full_text=True, page_size=20)
 query("fts_blank", lambda t: search.search(align_searched(t.videos), _BLANK, t.video_labels, t.label_names).select("file_id"), "SELECT file_id FROM videos ORDER BY translate(file_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), file_name, file_id LIMIT 20", "videos")
 _PER_TOKEN = "SELECT token, count(*) AS n, count(DISTINCT file_id) AS files FROM tok GROUP BY 1"
-_per_token = lambda index: index.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files"))
-
-
-def _refreshed(t: Tables) -> DataFrame:
-    stale = t.videos.withColumn("file_name", F.when(F.col("asset_type") == "cut", F.concat(F.lit("stale "), "file_name")).otherwise(F.col("file_name")))
-    return _per_token(fulltext.refresh(fulltext.token_index(stale), t.videos.where("asset_type = 'cut'")))
-
-
-query("fts_refresh", _refreshed, _I + _PER_TOKEN, "videos")
-query("fts_backfill", lambda t: _per_token(fulltext.backfill(fulltext.token_index(t.videos.where("asset_type = 'raw'")), t.videos)), _I + _PER_TOKEN, "videos")
+query("fts_refresh", lambda t: stored.INDEX.tokens(stored.refreshed_index(t)), _I + _PER_TOKEN, "videos")
+query("fts_backfill", lambda t: stored.INDEX.tokens(stored.indexed(t)), _I + _PER_TOKEN, "videos")
+query("fts_merged", lambda t: stored.INDEX.search(stored.refreshed_index(t), '"elan of" OR NEAR(src1 take, 2) OR sess* NOT stale'),
+      _I + f"SELECT DISTINCT a.file_id FROM tok a JOIN tok b ON a.file_id = b.file_id AND a.field = b.field WHERE (b.pos = a.pos + 1 AND a.token = 'elan' AND b.token = 'of') OR (a.token = 'src1' AND b.token = 'take' AND (b.pos - a.pos BETWEEN 0 AND 3 OR a.pos - b.pos BETWEEN 0 AND 3)) UNION {_has('starts_with(token, ' + repr('sess') + ')')}", "videos")
 query("match_pages", lambda t: search.paged(t.videos, search.SearchRequest(page_size=30)), "SELECT count(*) AS total, CAST(greatest(ceil(count(*) / 30), 1) AS BIGINT) AS pages FROM videos", "videos")
 query("asset_total", lambda t: stats.workflow_counts(t.videos).where("workflow_stage is null").agg(F.sum("videos").alias("total")), "SELECT count(*) AS total FROM videos", "videos")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import enrich, fmt, text, title
-from ..operators import fulltext, graph, merge, relations, search, stats
+from ..operators import fulltext, graph, maintained, merge, relations, search, stats
 from ..schema import INDEXED, SEARCHED, SORTS, VIDEOS, align, default_of
 from ..sources.adapter import ctes, relation
+from . import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -288,14 +289,14 @@ tok AS (SELECT file_id, field, unnest(range(len(w))) AS pos, unnest(w) AS token
 
 
 def _fts(q: str) -> Callable[[Tables], DataFrame]:
-    return lambda t: fulltext.search_index(fulltext.token_index(t.videos), q)
+    return lambda t: stored.INDEX.search(stored.indexed(t), q)
 
 
 def _has(test: str) -> str:
     return f"SELECT DISTINCT file_id FROM tok WHERE {test}"
 
 
-query("fts_index", lambda t: fulltext.token_index(t.videos).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files")), _I + "SELECT token, count(*) AS n, count(DISTINCT file_id) AS files FROM tok GROUP BY 1", "videos")
+query("fts_index", lambda t: stored.INDEX.tokens(stored.indexed(t)), _I + "SELECT token, count(*) AS n, count(DISTINCT file_id) AS files FROM tok GROUP BY 1", "videos")
 for _name, _query, _sql in (
     ("fts_and", "the ELAN", f"{_has('token = ' + repr('the'))} INTERSECT {_has('token = ' + repr('elan'))}"),
     ("fts_or", "elan OR preacher", _has("token IN ('elan', 'preacher')")),
@@ -336,3 +337,27 @@ for _column, _nocase in SORTS.items():
           f", a AS ({_ALIGNED}) SELECT file_id, {_column} FROM a ORDER BY {_key} NULLS FIRST, file_name, file_id LIMIT 25 OFFSET 25", "videos")
 query("table_columns", lambda t: t.spark.createDataFrame([(i, c) for i, c in enumerate(t.read("documents").columns)], "place int, name string"),
       "SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS place, column_name AS name FROM (DESCRIBE SELECT * FROM documents)")
+
+# ---- substring search by signatures, and statistics that are kept up
+query("search_indexed", lambda t: stored.searched(t, "preacher 1"), _FILES + _like("%preacher 1%"), "videos", "video_labels", "label_names")
+query("search_indexed_wildcards", lambda t: stored.searched(t, "s_c1%TAKE"), _FILES + _like("%s_c1%take%"), "videos", "video_labels", "label_names")
+query("search_indexed_short", lambda t: stored.searched(t, "q"), _FILES + _like("%q%"), "videos", "video_labels", "label_names")
+for _kept, _full, _make in (
+    ("kept_summary", "stats_summary", lambda t: maintained.summary(stored.catalogue(t)).select("total_videos", "total_size", "total_duration")),
+    ("kept_extensions", "top_extensions", lambda t: maintained.top_values(stored.catalogue(t), "file_extension")),
+    ("kept_resolutions", "top_resolutions", lambda t: maintained.top_values(stored.catalogue(t), "resolution")),
+    ("kept_folders", "facet_folders", lambda t: maintained.facet(stored.catalogue(t), "folder_path", "folder_path")),
+    ("kept_years", "facet_years", lambda t: maintained.years(stored.catalogue(t))),
+    ("kept_by_asset", "workflow_by_asset", lambda t: maintained.workflow_counts(stored.catalogue(t)).where("asset_type is not null").select("asset_type", "videos")),
+    ("kept_by_stage", "workflow_by_stage", lambda t: maintained.workflow_counts(stored.catalogue(t)).where("workflow_stage is not null").select("workflow_stage", "videos")),
+    ("kept_links", "cut_link_counts", lambda t: maintained.flag_counts(stored.catalogue(t), "linked_cuts", "unlinked_cuts")),
+    ("kept_tracking", "tracking_counts", lambda t: maintained.flag_counts(stored.catalogue(t), "new_videos", "missing_labels", "unlinked_cuts", "incomplete")),
+    ("kept_largest", "largest_files", lambda t: maintained.top_files(stored.catalogue(t), "file_size")),
+):
+    QUERIES[_kept] = lambda spark, sf_dir, make=_make: make(Tables(spark, sf_dir))
+    ORACLE[_kept] = ORACLE[_full]
+
+# ---- late pages, migrations
+query("late_page", lambda t: stored.late_page(t, 12, 40), "SELECT file_id, file_name, file_size FROM videos ORDER BY file_size DESC NULLS LAST, file_name, file_id LIMIT 40 OFFSET 440", "videos")
+query("keyset_page", lambda t: stored.page_after(t, 3, 50), "SELECT file_id, file_name, duration_seconds FROM videos ORDER BY duration_seconds DESC NULLS LAST, file_name, file_id LIMIT 50 OFFSET 150", "videos")
+query("migrated_catalogue", lambda t: stored.migrated(t).select("file_id", "name", "size_mb", "kind"), "SELECT file_id, file_name AS name, round(file_size / 1048576, 3) AS size_mb, coalesce(asset_type, 'none') AS kind FROM videos", "videos")

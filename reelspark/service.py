@@ -23,10 +23,11 @@ from pyspark.sql import types as T
 from . import logs
 from .functions import text
 from .functions.fmt import bytes_text, duration_text
-from .operators import accounts, graph, merge, relations, search, stats
+from .operators import accounts, graph, maintained, merge, relations, search, trigrams
 from .schema import VIDEOS
 from .session import checkpointed, scratch
 from .sources import listing
+from .sources.derived import refreshed
 from .sources.seed import Settings, seed_workflow
 from .sources.store import Snapshot, Store, Transaction
 from .streaming.job import SingleFlight, retried
@@ -34,6 +35,8 @@ from .streaming.rescan import IDS, INDEX, ingest
 
 #: Columns that tables without a file_id are bucketed by.
 KEYS = {"labels": "id", "terms": "id", "settings": "key", "users": "id", "codes": "user_id", "sessions": "token_hash", "items": "listed_folder_id", "drives": "id"}
+#: Tables that follow the catalogue.
+KEPT_UP = (trigrams.SIGNATURES, trigrams.TEXTS, maintained.SHARES, maintained.GREATEST)
 #: Values of a facet, or raw files, in one answer.
 PAGE = 200
 #: Segments of the full-text index from which a change also merges some.
@@ -125,46 +128,68 @@ class Service:
     def health(self) -> dict:
         return {"status": "ok"} | self.stats()["summary"]
 
+    def _kept_up(self) -> Snapshot:
+        """The newest version with the statistics and signatures that follow the catalogue; what is stale is made anew."""
+        t = self.store.snapshot()
+        if "videos" in t.tables and any(x.name not in t.tables or x.stale(t) for x in KEPT_UP):
+
+            def work(t: Transaction) -> None:
+                if "video_labels" not in t.tables:
+                    self._put(t, "video_labels", self._table(t, "video_labels"))
+                refreshed(t, *KEPT_UP)
+
+            self._account(work)
+            t = self.store.snapshot()
+        return t
+
     def stats(self) -> dict:
-        with scratch(self.spark):
-            v = self._table(self.store.snapshot(), "videos")
-            shown = {"file_size": bytes_text(F.col("file_size")), "duration_seconds": duration_text(F.col("duration_seconds"))}
-            top = lambda c, known=False: as_json(stats.top_files(v, c, known=known).withColumn("text", shown[c]))
-            return {
-                "summary": as_json(stats.summary(v))[0], "extensions": as_json(stats.top_values(v, "file_extension")), "resolutions": as_json(stats.top_values(v, "resolution")),
-                "largest": top("file_size"), "longest": top("duration_seconds", True),
-            }
+        t = self._catalogue()
+        shown = {"file_size": bytes_text(F.col("file_size")), "duration_seconds": duration_text(F.col("duration_seconds"))}
+        top = lambda c, known=False: as_json(maintained.top_files(t, c, known=known).withColumn("text", shown[c]))
+        return {
+            "summary": as_json(maintained.summary(t))[0], "extensions": as_json(maintained.top_values(t, "file_extension")), "resolutions": as_json(maintained.top_values(t, "resolution")),
+            "largest": top("file_size"), "longest": top("duration_seconds", True),
+        }
+
+    def _empty(self) -> Snapshot:
+        """A catalogue gets its table of files, empty, when it is first looked at."""
+        self._account(lambda t: None if "videos" in t.tables else self._put(t, "videos", self._table(t, "videos")))
+        return self._kept_up()
 
     FACETS = {"folders": "folder_path", "extensions": "file_extension", "resolutions": "resolution", "drives": "shared_drive_name"}
 
     def _facet(self, t: Snapshot, name: str, after: str = "", size: int = PAGE) -> list[str]:
         c = self.FACETS[name]
-        values = stats.facet(self._table(t, "videos"), c, c).where(F.col(c) > after)
+        values = maintained.facet(t, c, c).where(F.col(c) > after)
         return [r[c] for r in values.orderBy(c).limit(size).collect()]
 
     def facet(self, name: str, after: str = "", size: int = PAGE) -> list[str]:
         """The next values of a filter after one, in order; fewer than ``size``: that was the last page."""
         if name not in self.FACETS:
             raise Refused(f"no such filter: {name}")
-        return self._facet(self.store.snapshot(), name, after, min(max(size, 1), PAGE))
+        return self._facet(self._catalogue(), name, after, min(max(size, 1), PAGE))
+
+    def _catalogue(self) -> Snapshot:
+        t = self._kept_up()
+        return t if "videos" in t.tables else self._empty()
 
     def filters(self) -> dict:
         """The first page of each filter's values (facet() has the others), the years, and the first labels by name."""
-        t = self.store.snapshot()
+        t = self._catalogue()
         out = {k: self._facet(t, k) for k in self.FACETS}
         usage = relations.label_usage(self._table(t, "labels"), self._table(t, "video_labels"))
         labels = as_json(usage.orderBy(text.fold(F.col("name")), "id").limit(PAGE))
-        return out | {"years": [r["year"] for r in as_json(stats.years(self._table(t, "videos")).limit(PAGE))], "labels": labels}
+        return out | {"years": [r["year"] for r in as_json(maintained.years(t).limit(PAGE))], "labels": labels}
 
     def workflow_stats(self) -> dict:
-        t = self.store.snapshot()
-        v = self._table(t, "videos")
-        counts = as_json(stats.workflow_counts(v))
+        t = self._catalogue()
+        counts = as_json(maintained.workflow_counts(t))
         return {
             "assets": {r["asset_type"]: r["videos"] for r in counts if r["asset_type"] is not None},
             "stages": {r["workflow_stage"]: r["videos"] for r in counts if r["workflow_stage"] is not None},
-            "links": as_json(stats.cut_links(v))[0], "tracking": as_json(stats.tracking_counts(v, self._table(t, "video_labels")))[0],
-        }
+            "links": as_json(maintained.flag_counts(t, "linked_cuts", "unlinked_cuts"))[0],
+            "tracking": as_json(maintained.flag_counts(t, "new_videos", "missing_labels", "unlinked_cuts", "incomplete"))[0],
+        }
 
     def raw_videos(self, exclude: str = "", after: tuple[str, str] | None = None, size: int = PAGE) -> list[dict]:
         """A page of raw files by label and id; after: the (label, file_id) that the page before ended with."""
@@ -177,12 +202,13 @@ class Service:
 
     def videos(self, request: search.SearchRequest) -> dict:
         """A page of a search, decorated, with the totals."""
-        t = self.store.snapshot()
+        t = self._catalogue()
         table = lambda name: self._table(t, name)
+        substring = lambda rows, q: trigrams.text_filter(t, rows, q, table("video_labels"), table("labels"))
         with scratch(self.spark):
             try:
                 search.checked_sort(request.sort_by, request.sort_dir)
-                found = search.matches(table("videos"), request, table("video_labels"), table("labels"), lambda q: INDEX.search(t, q))
+                found = search.matches(table("videos"), request, table("video_labels"), table("labels"), lambda q: INDEX.search(t, q), substring)
             except ValueError as e:  # a column that can't be sorted by, or a query that can't be read
                 raise Refused(str(e)) from e
             total = as_json(search.paged(found, request))[0]

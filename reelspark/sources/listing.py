@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import enrich, title
 from ..functions.fmt import parsed
@@ -25,6 +26,34 @@ def read_listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEM).json(path).where(~F.coalesce("trashed", F.lit(False)))
 
 
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """Items of lines (source, record): their columns, and ``record`` and ``source`` beside. A line that is no JSON object of
+    an item's form has a null in every column but these and ``broken``, which then says so."""
+    form = ITEM + ", _corrupt string"
+    rows = lines.select("source", "record", F.from_json("record", form, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("item"))
+    return rows.select("source", "record", (F.col("item").isNull() | F.col("item._corrupt").isNotNull()).alias("broken"), "item.*").drop("_corrupt")
+
+
+def sorted_out(rows: DataFrame, folders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, dead letters (source, id, reason, record)) of parsed_lines(): broken lines, items without an id, those whose
+    folder isn't among ``folders`` (id), and files whose size is no number; others of the same file or folder stay."""
+    known = folders.select(F.col("id").alias("_folder")).distinct()
+    rows = rows.join(known, F.col("listed_folder_id") == F.col("_folder"), "left")
+    size = F.coalesce("size", F.lit(""))
+    reason = (
+        F.when(F.col("broken"), "malformed").when(is_blank(F.col("id")), "no id").when(F.col("_folder").isNull(), "no such folder")
+        .when((size != "") & size.try_cast("long").isNull() & ~F.coalesce(F.col("mimeType") == FOLDER, F.lit(False)), "size is no number")
+    )
+    judged = rows.withColumn("reason", reason)
+    names = T.StructType.fromDDL(ITEM).names
+    return judged.where("reason is null").select(*names), judged.where("reason is not null").select("source", "id", "reason", "record")
+
+
+def replayed(dead: DataFrame, folders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dead letters judged again, after their records were mended or their folders have come: (items, what is still dead)."""
+    return sorted_out(parsed_lines(dead.select("source", "record")), folders)
+
+
 def nested(flat: DataFrame) -> DataFrame:
     """Flat rows of items (owner_name, owner_email, target_id, target_mime ...) as a listing nests them."""
     return flat.select(

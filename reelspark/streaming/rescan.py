@@ -11,7 +11,8 @@ from ..operators.inverted import TextIndex
 from ..operators.merge import assign_ids, changed, last_of, upsert
 from ..schema import VIDEOS, align
 from ..session import checkpointed, scratch
-from ..sources.listing import ITEM, enriched, records, routed, scan_counts
+from ..sources import listing
+from ..sources.listing import enriched, records, routed, scan_counts
 from ..sources.seed import Settings
 from ..sources.store import Store, Transaction
 
@@ -54,14 +55,25 @@ def ingest(t: Transaction, items: DataFrame, paths: DataFrame, drives: DataFrame
     return scan_counts(rows).first().asDict()
 
 
-def start(spark: SparkSession, landing: str, store: Store, paths: DataFrame, drives: DataFrame, checkpoint: str, now: str, once: bool = True, settings: Settings | None = None) -> StreamingQuery:
+def start(spark: SparkSession, landing: str, store: Store, paths: DataFrame, drives: DataFrame, checkpoint: str, now: str, once: bool = True, settings: Settings | None = None, roots: tuple[str, ...] = ("root",)) -> StreamingQuery:
     """Follow a landing folder. The checkpoint keeps what was read; a batch that is run again merges to the same
-    catalogue, as the upsert is idempotent. Every batch is one transaction."""
-    stream = spark.readStream.schema(ITEM).json(landing)
+    catalogue, as the upsert is idempotent. Every batch is one transaction. Lines that can't be read, and items of folders
+    that neither paths nor drives nor ``roots`` know, or with a size that is no number, go to the table of dead
+    letters, a part a batch, and the others on."""
+    stream = spark.readStream.text(landing).select(F.col("value").alias("record"), F.col("_metadata.file_path").alias("source"))
+    known = paths.select("id").unionByName(drives.select("id")).unionByName(spark.createDataFrame([(r,) for r in roots], "id string"))
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         with scratch(batch.sparkSession):
-            store.transact(lambda t: ingest(t, batch, paths, drives, now, settings=settings))
+            items, dead = listing.sorted_out(checkpointed(listing.parsed_lines(batch.where("trim(record) <> ''"))), known)
+            items, dead = checkpointed(items), checkpointed(dead)
+
+            def work(t: Transaction) -> None:
+                ingest(t, items, paths, drives, now, settings=settings)
+                if dead.limit(1).count():
+                    t.put_part("dead_letters", number, dead)
+
+            store.transact(work)
 
     writer = stream.writeStream.foreachBatch(merge)
     writer = writer.option("checkpointLocation", checkpoint)

@@ -62,7 +62,8 @@ def test_plans(spark):
 
 
 def test_streamed_rescans(spark, tmp_path):
-    from reelspark.streaming.rescan import start
+    from reelspark.sources import listing
+    from reelspark.streaming.rescan import INDEX, start
 
     def item(seq, name, stamp, **more):
         return {"id": f"id-{name}", "name": name, "mimeType": "video/mp4", "size": "10", "modifiedTime": stamp, "scan_seq": seq, "listed_folder_id": "f"} | more
@@ -80,7 +81,18 @@ def test_streamed_rescans(spark, tmp_path):
     run()
     got = {r.file_id: r.internal_video_id for r in store.read("videos", VIDEOS).collect()}
     assert got == {"id-Prayer.mp4": "CHR-VID-000001", "id-Faith.mov": "CHR-VID-000002"}
-    assert store.read("tokens").where("token = 'faith'").count() > 0
+    assert [r.file_id for r in INDEX.search(store.snapshot(), "faith").collect()] == ["id-Faith.mov"]
+    bad = ["{not json", json.dumps(item(7, "Lost.mov", "t", listed_folder_id="nowhere")), json.dumps(item(8, "Nameless.mov", "t") | {"id": None}), json.dumps(item(9, "Hope.mov", "t", mimeType="x")), ""]
+    (landing / "c.json").write_text("\n".join(bad))
+    run()
+    assert {r.file_id for r in store.read("videos").collect()} == {"id-Prayer.mp4", "id-Faith.mov", "id-Hope.mov"}
+    dead = store.read("dead_letters")
+    assert sorted((r.reason, r.record if r.reason == "malformed" else r.id, r.source[-6:]) for r in dead.collect()) == [
+        ("malformed", "{not json", "c.json"), ("no id", None, "c.json"), ("no such folder", "id-Lost.mov", "c.json"), ("size is no number", "id-bad.mp4", "a.json"),
+    ]
+    mended = dead.withColumn("record", F.regexp_replace("record", '"size": "x"', '"size": "5"'))
+    items, still = listing.replayed(mended, spark.createDataFrame([("f",), ("nowhere",)], "id string"))
+    assert sorted(r.id for r in items.collect()) == ["id-Lost.mov", "id-bad.mp4"] and sorted(r.reason for r in still.collect()) == ["malformed", "no id"]
 
 
 def test_entry_has_rows(spark):
