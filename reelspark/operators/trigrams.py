@@ -33,17 +33,15 @@ def _blocked(videos: DataFrame) -> DataFrame:
 
 
 def _signatures(videos: DataFrame) -> DataFrame:
-    """(part, block, bits array<long>)."""
+    """(part, block, bits map<int, long>): the words of the bitmap that have a bit set."""
     rows = _blocked(videos)
     texts = F.array(*(fold(F.col(c)) for c in rows.columns[3:]))
     text = rows.select("part", "block", F.explode(F.array_distinct(texts)).alias("text")).where(F.length("text") > 2)
-    grams = text.select("part", "block", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring(F.col("text"), i, F.lit(3)))).alias("gram"))
+    grams = text.select("part", "block", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?s)(?=(.{3}))"), 1))).alias("gram"))
     bit = F.pmod(F.xxhash64("gram"), F.lit(BITS))
     words = grams.select("part", "block", F.shiftright(bit, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(gram), {BITS}) & 63 as int))").alias("mask"))
     words = words.groupBy("part", "block", "word").agg(F.bit_or("mask").alias("mask"))
-    held = words.groupBy("part", "block").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda w: F.coalesce(F.try_element_at(F.col("m"), w), F.lit(0).cast("long")))
-    return held.select("part", "block", dense.alias("bits"))
+    return words.groupBy("part", "block").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("bits"))
 
 
 #: The two tables, kept up with the catalogue's buckets.
@@ -64,7 +62,7 @@ def _bit(gram: str) -> int:
 
 def blocks_for(t: Snapshot, pattern: str) -> DataFrame:
     """(block) of the blocks that may hold the pattern."""
-    tests = [F.get("bits", F.lit(b >> 6)).bitwiseAND(F.expr(f"shiftleft(1L, {b & 63})")) != 0 for b in sorted({_bit(g) for g in grams_of(pattern)})]
+    tests = [F.coalesce(F.try_element_at("bits", F.lit(b >> 6)), F.lit(0).cast("long")).bitwiseAND(F.expr(f"shiftleft(1L, {b & 63})")) != 0 for b in sorted({_bit(g) for g in grams_of(pattern)})]
     return SIGNATURES.read(t).where(reduce(Column.__and__, tests, F.lit(True))).select("block")
 
 

@@ -112,6 +112,12 @@ def _gated(t: Tables) -> DataFrame:
     return rows.select("file_id", "scan_seq", F.coalesce("resolution", F.lit("")).alias("resolution"))
 
 
+_BELOW = ", below(id) AS (SELECT '{0}' UNION SELECT f.id FROM folders f JOIN below b ON f.parent_id = b.id)\n"
+query("subtree_folders", lambda t: graph.subtree(stored.labelled_folders(t), "r1").select("id", "name"), _BELOW.format("r1") + "SELECT id, name FROM folders WHERE id IN (SELECT id FROM below)", "folders")
+query("subtree_files", lambda t: graph.files_below(_items(t).where(f"mimeType <> '{FOLDER}'"), stored.labelled_folders(t), "r2").select("id", "name"),
+      _BELOW.format("r2") + f"SELECT id, name FROM items WHERE mime <> '{FOLDER}' AND listed_folder_id IN (SELECT id FROM below)", "folders", "items")
+query("moved_paths", stored.paths_after_move, """, f AS (SELECT id, name, CASE WHEN id = 'n3' THEN 'r0' ELSE parent_id END AS parent_id FROM folders),
+    down(id, path) AS (SELECT id, '/' || name FROM f WHERE id = 'r0' UNION ALL SELECT f.id, path || '/' || f.name FROM f JOIN down ON f.parent_id = down.id) SELECT id, path FROM down""", "folders")
 query("dead_letters", stored.dead_letters, f""", judged AS (SELECT id AS source, CASE WHEN scan_seq % 13 = 5 THEN 'malformed' WHEN coalesce(id, '') = '' THEN 'no id' WHEN listed_folder_id IS NULL OR listed_folder_id NOT IN (SELECT id FROM folders) THEN 'no such folder'
     WHEN coalesce(size, '') <> '' AND TRY_CAST(size AS BIGINT) IS NULL AND coalesce(mime, '') <> '{FOLDER}' THEN 'size is no number' END AS reason FROM items)
     SELECT source, reason, count(*) AS records FROM judged WHERE reason IS NOT NULL GROUP BY 1, 2""", "items", "folders")

@@ -12,6 +12,7 @@ from ..functions import enrich, fmt, text, title
 from ..operators import fulltext, graph, maintained, merge, relations, search, stats
 from ..schema import INDEXED, SEARCHED, SORTS, VIDEOS, align, default_of
 from ..sources.adapter import ctes, relation
+from ..streaming import state
 from . import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -339,7 +340,7 @@ query("table_columns", lambda t: t.spark.createDataFrame([(i, c) for i, c in enu
       "SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS place, column_name AS name FROM (DESCRIBE SELECT * FROM documents)")
 
 # ---- substring search by signatures, and statistics that are kept up
-query("search_indexed", lambda t: stored.searched(t, "preacher 1"), _FILES + _like("%preacher 1%"), "videos", "video_labels", "label_names")
+query("search_indexed", lambda t: stored.searched(t, "SRC1/en"), _FILES + _like("%src1/en%"), "videos", "video_labels", "label_names")
 query("search_indexed_wildcards", lambda t: stored.searched(t, "s_c1%TAKE"), _FILES + _like("%s_c1%take%"), "videos", "video_labels", "label_names")
 query("search_indexed_short", lambda t: stored.searched(t, "q"), _FILES + _like("%q%"), "videos", "video_labels", "label_names")
 for _kept, _full, _make in (
@@ -361,3 +362,8 @@ for _kept, _full, _make in (
 query("late_page", lambda t: stored.late_page(t, 12, 40), "SELECT file_id, file_name, file_size FROM videos ORDER BY file_size DESC NULLS LAST, file_name, file_id LIMIT 40 OFFSET 440", "videos")
 query("keyset_page", lambda t: stored.page_after(t, 3, 50), "SELECT file_id, file_name, duration_seconds FROM videos ORDER BY duration_seconds DESC NULLS LAST, file_name, file_id LIMIT 50 OFFSET 150", "videos")
 query("migrated_catalogue", lambda t: stored.migrated(t).select("file_id", "name", "size_mb", "kind"), "SELECT file_id, file_name AS name, round(file_size / 1048576, 3) AS size_mb, coalesce(asset_type, 'none') AS kind FROM videos", "videos")
+query("event_states", stored.event_states, f"""WITH e AS (SELECT event_id, user_id, coalesce(event_type, '') AS kind, epoch_us(ts) AS tick, lag(epoch_us(ts)) OVER w AS prev FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(CASE WHEN prev IS NULL OR tick - prev > {state.LIFETIME}000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY tick, event_id) AS life FROM e),
+    g AS (SELECT *, lag(kind) OVER w AS was, lag(tick) OVER w AS here, count(*) FILTER (WHERE kind <> 'error') OVER w AS reset FROM s WINDOW w AS (PARTITION BY user_id, life ORDER BY tick, event_id))
+    SELECT event_id, user_id, kind IS DISTINCT FROM was AS changed, CASE WHEN kind = 'error' THEN count(*) FILTER (WHERE kind = 'error') OVER (PARTITION BY user_id, life, reset ORDER BY tick, event_id) ELSE 0 END AS attempts,
+        greatest(0, CASE WHEN here IS NULL THEN 0 ELSE {state.COOLDOWN} - (tick - here) // 1000000 END) AS wait_seconds FROM g""")

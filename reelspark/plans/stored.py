@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import maintained, paging, trigrams
+from ..operators import graph, maintained, paging, trigrams
 from ..operators.inverted import TextIndex
 from ..operators.paging import StoredOrder
 from ..operators.search import SearchRequest
@@ -18,6 +18,7 @@ from ..session import forget, scratch, shared_dir
 from ..sources import listing
 from ..sources.derived import refreshed
 from ..sources.store import Snapshot, Store, Transaction
+from ..streaming import state
 
 INDEX = TextIndex()
 _made: dict[tuple[str, str, str], Store] = {}
@@ -134,3 +135,26 @@ def dead_letters(t) -> DataFrame:
     lines = items.select(F.col("id").alias("source"), line.alias("record"))
     _, dead = listing.sorted_out(listing.parsed_lines(lines), t.folders.select("id"))
     return dead.groupBy("source", "reason").agg(F.count("*").alias("records"))
+
+
+def labelled_folders(t) -> DataFrame:
+    """The folders with their labels, stored once in their order."""
+    at = store_of(t, "labels", lambda x: x.put_part("folders", 0, graph.folder_labels(t.folders), **{"parquet.block.size": 1 << 20}))
+    return at.read("folders")
+
+
+def paths_after_move(t) -> DataFrame:
+    """(id, path) below a region after a nation with all that is its own was moved there."""
+    after = graph.moved(labelled_folders(t), "n3", "r0")
+    return graph.paths_of(graph.subtree(after, "r0"), after)
+
+
+def event_states(t) -> DataFrame:
+    """The table of events as a stream, run to its end through Spark's state store."""
+    spark = t.spark
+    at = f"{shared_dir(spark)}/reelspark-states-{uuid.uuid4().hex}"
+    atexit.register(forget, spark, at)
+    events = spark.readStream.schema(t.read("events").schema).parquet(f"{t.sf_dir}/events.parque[t]")  # a pattern, as a stream takes no single file
+    query = state.follow(events, f"{at}/out", f"{at}/checkpoint")
+    query.awaitTermination()
+    return spark.read.parquet(f"{at}/out")

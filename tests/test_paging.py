@@ -71,3 +71,26 @@ def test_migrations_are_lazy(spark, tmp_path):
     assert set(counted.stale(third.snapshot())) == {int(b) for b in before}  # new columns make what follows them stale
     third.transact(counted.refresh)
     assert counted.read(third.snapshot()).agg(F.sum("n")).first()[0] == sum(2 * i + 1 for i in range(40))
+
+
+def test_subtrees_are_ranges(spark, tmp_path):
+    from reelspark.operators import graph
+
+    rows = [("a", "A", None), ("b", "B", "a"), ("b0", "B0", "a"), ("c", "C", "b"), ("d", "D", "c"), ("e", "E", None), ("f", "F", "e"), ("x", "X", "y"), ("y", "Y", "x")]
+    folders = spark.createDataFrame(rows, "id string, name string, parent_id string")
+    graph.folder_labels(folders).write.parquet(f"{tmp_path}/labels")
+    labels = spark.read.parquet(f"{tmp_path}/labels")
+    below = lambda of, i: sorted(r.id for r in graph.subtree(of, i).collect())
+    assert (below(labels, "b"), below(labels, "a"), below(labels, "f"), below(labels, "none")) == (["b", "c", "d"], ["a", "b", "b0", "c", "d"], ["f"], [])
+    plan = graph.subtree(labels, "b")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(label,a/b/)" in plan and "LessThan(label,a/b0)" in plan  # a range that the scan skips to
+    files = spark.createDataFrame([("1", "d"), ("2", "b0"), ("3", "b")], "id string, listed_folder_id string")
+    assert sorted(r.id for r in graph.files_below(files, labels, "b").collect()) == ["1", "3"]
+    after = graph.moved(labels, "b", "f")
+    changed = [r.id for r in after.join(labels.withColumnRenamed("label", "was"), "id").where("label <> was").collect()]
+    assert sorted(changed) == ["b", "c", "d"] and (below(after, "e"), below(after, "a")) == (["b", "c", "d", "e", "f"], ["a", "b0"])
+    assert {r.id: r.path for r in graph.paths_of(graph.subtree(after, "f"), after).collect()} == {"f": "/E/F", "b": "/E/F/B", "c": "/E/F/B/C", "d": "/E/F/B/C/D"}
+    assert below(graph.moved(after, "c", None), "c") == ["c", "d"]
+    for bad in (("a", "d"), ("none", "a"), ("a", "none"), ("a", "a")):
+        with pytest.raises(ValueError):
+            graph.moved(labels, *bad)
