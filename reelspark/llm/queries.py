@@ -155,6 +155,22 @@ hits AS (
     SELECT d.id AS doc_id, b.id AS item_id, count(*) AS found
     FROM shingles d JOIN shingles b ON d.kind = 'd' AND b.kind = 'b' AND d.k = b.k AND d.s = b.s GROUP BY d.id, b.id)
 SELECT doc_id, item_id, n AS n_shingles, found AS n_found FROM hits JOIN n ON n.id = item_id WHERE found * 100 >= n * 80
+""",
+    "op11_jaccard_join": f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', lower('{UPPER}')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY x, y),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT y, root FROM reach JOIN edges ON x = node),
+least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents JOIN least ON node = doc_id LEFT JOIN sizes USING (doc_id)
 """,
     "op12_ranked_search": f"""
 WITH parted AS (
