@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -56,8 +58,22 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
-#: Frees the shuffle files of a query once it has ended, which nothing reads any more after its result is written.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a step is run: the shuffle files of a query go once it has ended, as nothing reads them after its result
+#: is written; and Arrow batches are short, as each holds whole texts on both sides of every Python worker.
+RUNNING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+@contextlib.contextmanager
+def running(spark: SparkSession) -> Iterator[None]:
+    """RUNNING holds inside; afterwards the session's own settings are back."""
+    was = {k: spark.conf.get(k, None) for k in RUNNING}
+    for k, v in RUNNING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stash(df: DataFrame, what: str) -> DataFrame:
@@ -65,12 +81,8 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     and gives the planner true sizes. The files go by discard(), or when the driver's Python ends."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    was = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with running(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed_at = path
     return out

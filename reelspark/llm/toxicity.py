@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ship, stash, trim
+from .common import discard, running, ship, stash, trim
 
 ship(__name__)
 
@@ -188,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, chars:
         trim()
 
     one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "k").select("text", "toxic")
-    fitted = one.mapInArrow(run, "weights binary, bias double").collect()
+    with running(docs.sparkSession):
+        fitted = one.mapInArrow(run, "weights binary, bias double").collect()
     discard(rows)
     if not fitted:
         return Model(np.zeros(SLOTS, np.float32), -30.0)

@@ -43,7 +43,7 @@ def found(df):
     return sorted(map(tuple, df.select("doc_id", "n_shingles", "component_id").collect()), key=str)
 
 
-@pytest.mark.parametrize(("seed", "hot", "bits"), [(1, 64, 64), (2, 3, 64), (3, 3, 5)])
+@pytest.mark.parametrize(("seed", "hot", "bits"), [(1, 64, 64), (3, 3, 5)])
 def test_join_equals_all_pairs(spark, monkeypatch, seed, hot, bits):
     if hot < 64:
         monkeypatch.setattr(jaccard_join, "LARGE", 2)
