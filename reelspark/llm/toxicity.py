@@ -30,6 +30,8 @@ TOKEN = re.compile(r"\w+|[.!?\n]+")
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+|$)")
 #: The fit's bounds: labelled documents, and the characters of all of them together.
 SAMPLE_DOCS, SAMPLE_CHARS = 8_000, 1 << 26
+#: Words of the sample that a step of the fit sums at a time.
+PART = 1 << 19
 
 
 def slots(word: str) -> tuple[int, int, int]:
@@ -105,13 +107,12 @@ def fit(texts: Iterable[str | None], marks: list[int], epochs: int = 200, least:
     where = np.array([slots(w) for w in names] or np.zeros((0, 3)), np.int64).reshape(-1, 3)
     words, lengths, bag = (np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in (words, lengths, bag))
     sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-    pairs = np.unique(bag[sentence].astype(np.int64) * len(names) + words) if len(words) else np.zeros(0, np.int64)
     seen = np.zeros(SLOTS, np.int64)
-    for j in range(3):
-        both = np.unique(pairs // len(names) * SLOTS + where[pairs % len(names), j]) if len(pairs) else pairs
-        seen += np.bincount(both % SLOTS, minlength=SLOTS)
+    bounds = np.searchsorted(bag[sentence], np.arange(len(marks) + 1)) if len(words) else []
+    for lo, hi in zip(bounds, bounds[1:], strict=False):  # bag by bag, so that nothing as large as all words is sorted
+        seen[np.unique(where[np.unique(words[lo:hi])])] += 1
     many = len(names)
-    del names, pairs
+    del names, bounds
     keep = seen >= least
     useful = np.flatnonzero(keep[where].any(axis=1)) if len(where) else np.zeros(0, np.int64)
     dense = np.full(many, -1, np.int32)
@@ -119,15 +120,20 @@ def fit(texts: Iterable[str | None], marks: list[int], epochs: int = 200, least:
     words = dense[words] if len(words) else words
     sentence, words = sentence[words >= 0], words[words >= 0]
     where, n_bags, n_sent = where[useful], len(toxic), len(lengths)
+    parts = [slice(at, at + PART) for at in range(0, len(words), PART)]  # words that are summed at a time: bounds what a step holds
     y, w, b = toxic.astype(np.float64), np.zeros(SLOTS), -6.0
     m, v, mb, vb = np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 0.0
     for step in range(1, epochs + 1):
-        z = np.bincount(sentence, w[where].sum(axis=1)[words], n_sent) + b if len(words) else np.full(n_sent, b)
+        z, weights = np.full(n_sent, b), w[where].sum(axis=1)
+        for part in parts:
+            z += np.bincount(sentence[part], weights[words[part]], n_sent)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.bincount(bag, np.logaddexp(0, z), n_bags)  # -log(1 - score)
         score = np.clip(-np.expm1(-none), 1e-9, 1)
         g = np.where(y > 0, -(1 - score) / score, 1.0)[bag] * p / n_bags
-        gw = np.bincount(words, g[sentence], len(where)) if len(words) else np.zeros(len(where))
+        gw = np.zeros(len(where))
+        for part in parts:
+            gw += np.bincount(words[part], g[sentence[part]], len(where))
         grad = sum(np.bincount(where[:, j], gw, SLOTS) for j in range(3)) * keep
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
