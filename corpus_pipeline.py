@@ -30,8 +30,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest id, of each group of near copies: five-word shingles, Jaccard 0.8 or more. Null
-    and empty texts are copies of each other; of rows that share the smallest id one stays; rows without an id stay."""
+    """One document, the one of smallest id, of each group of near copies: five-word shingles, Jaccard 0.8 or more, found by
+    SimHash and verified, the links that fingerprints miss by the exact join. Null and empty texts are copies of each other; of rows that share the smallest id one stays; rows without an id stay."""
     return near_copies.representatives(docs)
 
 

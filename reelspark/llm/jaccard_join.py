@@ -207,8 +207,9 @@ def similar(pairs: DataFrame, sets: DataFrame, marks: DataFrame, percent: int) -
     return edges
 
 
-def similar_sets(sets: DataFrame, percent: int, hot: int) -> DataFrame:
-    """(node, root): the components of all pairs of distinct sets of that similarity; sets without one may lack."""
+def similar_sets(sets: DataFrame, percent: int, hot: int, likely: DataFrame | None = None) -> DataFrame:
+    """(node, root): the components of all pairs of distinct sets of that similarity; sets without one may lack. likely:
+    pairs (a, b) of sets found otherwise, which are verified first; buckets within the components that they make are done."""
     context = sets.sparkSession.sparkContext
     marks = stash(sets.groupBy("s").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "marks")
     rows = prefixes(sets, percent).groupBy("h").agg(F.count("*").alias("rows")).where(F.col("rows") > hot)
@@ -229,6 +230,9 @@ def similar_sets(sets: DataFrame, percent: int, hot: int) -> DataFrame:
     most = F.least("i", "i2") + 1 + F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) - 1
     near = most * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
     edges = roots = None
+    if likely is not None:
+        edges = similar(likely, sets, marks, percent)
+        roots = components(edges)
     for seed in range(ROUNDS):
         named = _named(held, roots)
         order = F.xxhash64("s", F.pmod("h", F.lit(SEATS)), F.lit(seed))

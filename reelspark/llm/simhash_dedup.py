@@ -36,11 +36,21 @@ def simhash(text: bytes | None, width: int = 3) -> int:
         return 0
     if len(words) < width:
         return xxhash.xxh64_intdigest(b" ".join(words), 42)
-    n, total, digest, join = len(words) - width + 1, np.zeros(64, np.int64), xxhash.xxh64_intdigest, b" ".join
-    for at in range(0, n, 1 << 15):
-        part = words[at : at + (1 << 15) + width - 1]
-        shingles = map(join, zip(*(part[i:] for i in range(width)), strict=False))
-        h = np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(part) - width + 1)
+    n, digest, join = len(words) - width + 1, xxhash.xxh64_intdigest, b" ".join
+
+    def hashes():
+        for at in range(0, n, 1 << 15):
+            part = words[at : at + (1 << 15) + width - 1]
+            shingles = map(join, zip(*(part[i:] for i in range(width)), strict=False))
+            yield np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(part) - width + 1)
+
+    return majority(hashes(), n)
+
+
+def majority(parts, n: int) -> int:
+    """The bits that are set in over half of n hashes, which come in parts."""
+    total = np.zeros(64, np.int64)
+    for h in parts:
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 

@@ -78,3 +78,30 @@ def test_parities_bound_the_difference():
         assert far <= n + m - 2 * both and far == jaccard_join.apart(jaccard_join.parities(two), jaccard_join.parities(one))
         if both and n + m > 2 * both and abs(n - m) < n:
             assert far > 0.5 * (n + m - 2 * both)
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    rows = corpus(1)
+    docs = spark.createDataFrame([(i, t, None, "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = jaccard_join.shingle_sets(docs, "doc_id", "text", 5)
+    prints = {r.s: r.fp & (1 << 64) - 1 for r in near_copies.prints_of(sets).collect()}
+    for r in sets.collect():
+        held = [h & (1 << 64) - 1 for h in r.held]
+        assert prints[r.s] == sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in held) > len(held))
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2
+    got = [(r.a, r.b) for r in near_copies.by_fingerprint(sets).collect()]
+    assert got and all(near(a, b) for a, b in got)
+
+    def parts(pairs):
+        root = {s: s for s in prints}
+        for a, b in pairs:
+            if root[a] != root[b]:
+                old = root[a]
+                root = {s: root[b] if r == old else r for s, r in root.items()}
+        return {frozenset(s for s in root if root[s] == r) for r in root.values()}
+
+    assert parts(got) == parts((a, b) for a in prints for b in prints if a < b and near(a, b))
+    likely = []
+    monkeypatch.setattr(near_copies, "similar_sets", lambda *given: likely.append(given[3]) or jaccard_join.similar_sets(*given))
+    corpus_pipeline.drop_near_copies(spark, docs, "").count()
+    assert len(likely) == 1 and likely[0] is not None
