@@ -75,6 +75,31 @@ def test_index_equals_a_scan_of_all_words(spark, store):
             index.search(store.snapshot(), bad)
 
 
+def test_shards_are_bounded_by_bytes_and_merged_whole(spark, store, monkeypatch):
+    monkeypatch.setattr(inverted, "SHARD", 1000)
+    monkeypatch.setattr(inverted, "SHARD_BYTES", 200)
+    rng, index = random.Random(7), TextIndex()
+    now = videos(spark, rng, [f"f{i}" for i in range(40)], "ÉLAN İx Σας")
+    twice = now.unionByName(now.where("file_id in ('f1', 'f2')"))  # rows that repeat
+    store.transact(lambda t: index.add(t, twice))
+    shards = store.read("fts_files").count()
+    assert shards > 5 and store.read("fts").where("size(places) > 1").limit(1).count()
+    part = videos(spark, rng, ["f5", "f6", "g1"], "fresh")
+    store.transact(lambda t: index.add(t, part))
+    now = twice.join(part, "file_id", "left_anti").unionByName(part)
+    words = fulltext.token_index(now)
+    want = sorted(map(tuple, words.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files")).collect()))
+    for merged in (False, True):
+        if merged:
+            store.transact(lambda t: index.merge(t, [1, 2]))
+        at = store.snapshot()
+        assert sorted(map(tuple, index.tokens(at).collect())) == want
+        for q in ("elan", "fresh OR alpha", '"alpha beta"', "the NOT fresh"):
+            assert found(index.search(at, q)) == found(fulltext.search_index(words, q)), q
+    held = [r.files for r in store.read("fts_files").collect()]
+    assert sorted(x for files in held for x in files) == sorted({r.file_id for r in now.collect()})
+
+
 def test_a_search_reads_its_own_tokens(spark, store):
     index = TextIndex()
     store.transact(lambda t: index.add(t, videos(spark, random.Random(2), [f"f{i}" for i in range(20)])))
