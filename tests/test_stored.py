@@ -137,6 +137,27 @@ def test_no_match_is_lost_by_signatures(spark, store, monkeypatch):
     assert trigrams.grams_of("%aBc_dE%fghi%") == {"abc", "fgh", "ghi"}
 
 
+def test_signatures_hold_the_stored_blocks_trigrams(spark, store, monkeypatch):
+    monkeypatch.setattr(trigrams, "BLOCK", 5)
+    rows = videos(spark, random.Random(5), [f"f{i}" for i in range(60)], "é%_\\Z")
+    store.write("videos", rows)
+    assert set(store.transact(lambda t: refreshed(t, trigrams.SIGNATURES))) == {"grams"}  # the blocks come along
+    at = store.snapshot()
+    texts, want = [c for c in SEARCHED if c in rows.columns], {}
+    for r in trigrams.TEXTS.read(at).collect():
+        bits = want.setdefault(r.block, set())
+        for text in (r[c] for c in texts if r[c]):
+            low = text.translate(str.maketrans(trigrams.UPPER, trigrams.UPPER.lower()))
+            bits.update(trigrams._bit(low[i : i + 3]) for i in range(len(low) - 2))
+    got = {r.block: {64 * w + k for w, mask in r.bits.items() for k in range(64) if mask >> k & 1} for r in trigrams.SIGNATURES.read(at).collect()}
+    assert got == want
+    store.write("videos", rows.where("file_id = 'f1'"), at.touched("videos", rows.where("file_id = 'f1'").select("file_id")))
+    with pytest.raises(LookupError):
+        trigrams.SIGNATURES.read(store.snapshot())
+    plan = trigrams._blocked(rows.withColumn("part", F.lit(0)))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan  # no text moves
+
+
 def same(x, y):
     assert sorted(map(tuple, x.collect()), key=str) == sorted(map(tuple, y.select(*x.columns).collect()), key=str)
 
