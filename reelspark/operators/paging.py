@@ -6,14 +6,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import fold
 from ..schema import SORTS
 from ..sources.store import Snapshot, Transaction
 from .search import SearchRequest, ordering
 
-#: Rows of a range of a stored order, about.
-RANGE_ROWS = 100_000
+#: Rows of a range of a stored order, about, and bytes of their texts.
+RANGE_ROWS, RANGE_BYTES = 100_000, 64 << 20
 
 
 def keys(r: SearchRequest) -> list[tuple[Column, bool]]:
@@ -55,14 +56,16 @@ class StoredOrder:
     def build(self, t: Transaction, videos: DataFrame) -> None:
         """Sort once, in ranges."""
         by = ordering(self.request.sort_by, self.request.sort_dir)
-        ranges = max(1, -(-videos.count() // RANGE_ROWS))
+        texts = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in videos.schema if f.dataType == T.StringType()]
+        n, size = videos.agg(F.count("*"), F.coalesce(F.sum(reduce(Column.__add__, texts, F.lit(0).cast("long"))), F.lit(0))).first()
+        ranges = max(1, -(-n // RANGE_ROWS), -(-size // RANGE_BYTES))
         rows = videos.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
         if self.name in t.tables:
             t.drop_parts(self.name, t.parts(self.name))
         t.put_parts(self.name, rows, dict.fromkeys(range(ranges), "order"))
-        held = [t.read(self.name, buckets=[p]).agg(F.lit(p).alias("range"), F.count("*").alias("n")) for p in t.parts(self.name)]
-        empty = t.store.spark.createDataFrame([], "range int, n long")
-        t.put_part(self.counts, 0, reduce(DataFrame.unionByName, held, empty))
+        part = F.regexp_extract("_metadata.file_path", r"/part=(\d+)/", 1).cast("int")
+        held = t.read(self.name).select(part.alias("range")).groupBy("range").agg(F.count("*").alias("n"))
+        t.put_part(self.counts, 0, held)
 
     def ranges_of(self, t: Snapshot, page: int, size: int) -> tuple[list[int], int]:
         """(the ranges that hold a page, how many of their rows come before it)."""

@@ -94,3 +94,14 @@ def test_subtrees_are_ranges(spark, tmp_path):
     for bad in (("a", "d"), ("none", "a"), ("a", "none"), ("a", "a")):
         with pytest.raises(ValueError):
             graph.moved(labels, *bad)
+
+
+def test_ranges_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(paging, "RANGE_BYTES", 2000)
+    rows = spark.createDataFrame([(f"f{i:03}", "n" * 40, i % 17) for i in range(300)], "file_id string, file_name string, file_size long")
+    store, order = Store(spark, f"file://{tmp_path}/s"), StoredOrder(SearchRequest(sort_by="file_size", sort_dir="desc"))
+    store.transact(lambda t: order.build(t, rows))
+    at = store.snapshot()
+    assert at.read(order.counts).count() > 3 and at.read(order.counts).agg(F.sum("n")).first()[0] == 300
+    want = [r.file_id for r in rows.orderBy(F.desc("file_size"), "file_id").collect()]
+    assert [r.file_id for r in order.page(at, 4, 40).collect()] == want[120:160]
