@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 # Patterns and word lists of the title rules.
 SEPARATORS = r"(?U)[_\-.\s]+"
 YEAR = r"(?U)\b(19\d{2}|20\d{2})\b"
@@ -70,12 +72,12 @@ def title_case(text: Column) -> Column:
 
 def clean_title(name: Column, words: Column, year_: Column, speaker_: Column) -> Column:
     """The tokens left without year and speaker, in title case; the stem if under three letters remain."""
-    said = F.split(F.lower(speaker_), " ")
-    rest = F.filter(words, lambda t: ~((year_ != "") & (t == year_)) & ~((speaker_ != "") & F.array_contains(said, F.lower(t))))
+    given = F.struct(year_.alias("year"), F.when(speaker_ != "", F.split(F.lower(speaker_), " ")).otherwise(F.array().cast("array<string>")).alias("said"))
+    rest = bound(given, lambda g: F.filter(words, lambda t: ~((g["year"] != "") & (t == g["year"])) & ~F.array_contains(g["said"], F.lower(t))))
     lowered = F.transform(rest, lambda t: F.when(F.lower(t).isin(LOWERED), F.lower(t)).otherwise(t))
     title = F.btrim(F.regexp_replace(F.btrim(title_case(F.array_join(lowered, " ")), F.lit(" -_")), r"(?U)\s{2,}", " "))
     plain = title_case(F.btrim(F.translate(stem(name), "_-", "  ")))
-    return F.when(F.length(title) < 3, plain).otherwise(title)
+    return bound(title, lambda t: F.when(F.length(t) < 3, plain).otherwise(t))
 
 
 def folder_keywords(folder: Column) -> Column:

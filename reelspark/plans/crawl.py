@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import graph, merge, search, stats
+from ..session import spread
 from ..sources import listing
 from . import stored
 from .queries import _C, _CASED, _I, _T, _TOPICS, Tables, _case, _has, align_searched, enrich, query
@@ -125,7 +126,7 @@ query("scan_probe_gate", _gated, _ROUTED + _PATHS + "SELECT file_id, scan_seq, C
 
 # ---- enrichment, whole
 _WHOLE = ["clean_title", "normalized_name", "speaker", "main_theme", "teaching_type", "biblical_topics", "keywords", "bible_references", "semantic_tags", "ministry"]
-query("enriched_rows", lambda t: listing.enriched(t.names).select("id", *_WHOLE),
+query("enriched_rows", lambda t: listing.enriched(spread(t.names)).select("id", *_WHOLE),
       _T + _C + f""", tr AS (SELECT *, {_CASED.format('list_filter(w, lambda t: NOT (year <> chr(32) AND t = year) AND NOT list_contains(string_split(lower(speaker), chr(32)), lower(t)))')} AS title FROM tu),
       rr AS (SELECT id, regexp_extract_all(raw, '(?i){enrich.REFERENCE}') AS r FROM cx)
       SELECT tr.id, CASE WHEN len(title) < 3 THEN {_CASED.format("list_filter(regexp_split_to_array(replace(replace(stem, '_', ' '), '-', ' '), '\\s+'), lambda t: t <> '')")} ELSE title END AS clean_title,

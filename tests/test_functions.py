@@ -68,3 +68,10 @@ def test_probe(spark):
         m = fmt.parsed(spark.createDataFrame([(doc % (w, h, rate),)], "probe string"), F.col("probe")).first().media
         got[w, h] = (m.aspect_ratio, m.orientation, m.fps, m.has_audio)
     assert got == {(1920, 1080): ("16:9", "landscape", 29.97, False), (1080, 1920): ("9:16", "portrait", None, False), (720, 576): ("5:4", "landscape", 25.0, False), (500, 500): ("1:1", "landscape", None, False)}
+
+
+def test_dear_rows_are_dealt_to_all_cores(spark):
+    from reelspark.plans import QUERIES
+
+    for name in ("clean_title", "enriched_rows", "bible_refs", "topics"):  # one small file of names
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
