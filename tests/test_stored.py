@@ -109,6 +109,32 @@ def test_a_search_reads_its_own_tokens(spark, store):
     assert store.read("none", spark.createDataFrame([], "file_id string").schema).count() == 0
 
 
+def test_a_merge_moves_lists_in_blocks(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n = 3000
+    sizes = np.where(rng.random(n) < 0.9, 1, rng.integers(2, 60, n))
+    sizes[7] = 0
+    places = [np.sort(rng.integers(0, 1 << 50, k)).tolist() for k in sizes]
+    table = pa.table({
+        "to": pa.array(rng.integers(0, 3, n), pa.int32()), "segment": pa.array(rng.integers(1, 4, n), pa.int32()), "shard": pa.array(rng.integers(0, 5, n), pa.int32()),
+        "token": pa.array([f"wörd{i:06d}" for i in range(n)], pa.string()), "places": pa.array(places, pa.list_(pa.int64())),
+    })
+    want = {to: [r for r in table.to_pylist() if r["to"] == to] for to in range(3)}
+    for most, rows in ((inverted.BLOCK, 3), (20_000, 9)):  # all of a task at once, or as they come
+        monkeypatch.setattr(inverted, "BLOCK", most)
+        given = pa.Table.from_batches(inverted.blocked(iter(table.to_batches(max_chunksize=500))))
+        assert given.num_rows >= rows
+        for to, known in want.items():
+            lists, flat = inverted.unblocked(given.filter(pa.compute.equal(given.column("to"), to)).column("block"))
+            ends = np.cumsum(lists.column("n").to_numpy())
+            got = [r | {"to": to, "places": flat[z - r.pop("n") : z].tolist()} for r, z in zip(lists.to_pylist(), ends, strict=True)]
+            assert got == [{k: r[k] for k in ("segment", "shard", "token", "to", "places")} for r in known]
+    assert list(inverted.blocked(iter([]))) == [] and inverted.unblocked(given.slice(0, 0).column("block"))[0].num_rows == 0
+
+
 def test_lists_gallop():
     import numpy as np
 
