@@ -114,6 +114,23 @@ def test_counter_equals_tokenizer():
         assert np.frombuffer(counter.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_words_with_one_sign_need_no_pattern():
+    from tokenizers import Tokenizer
+
+    t, counter = Tokenizer.from_file(tokenizer_path()), packing.TokenCounter(tokenizer_path())
+    searched, real = [], counter.splits
+
+    class Counted:
+        def findall(self, word):
+            searched.append(word)
+            return real.findall(word)
+
+    counter.splits = Counted()
+    text = " ".join(f"{w}{chr(c)}" for c in range(0x250) for w in ("ab", "ñu", "") if c != 0x130 and not chr(c).isspace())
+    assert np.frombuffer(counter.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert max(map(len, searched)) == 1 and len(searched) <= 2 * len(set(searched))
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
