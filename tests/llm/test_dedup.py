@@ -1,4 +1,5 @@
 import random
+from hashlib import sha256
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from reelspark.llm import common, simhash_dedup
 from reelspark.llm import substring_dedup as sub
 from reelspark.llm import suffix_array_dedup as suf
 from reelspark.llm.line_dedup import line_dedup
+from reelspark.llm.queries import QUERIES
 
 DOCS = "text string, doc_id long, lang string, fp long, k1 string"
 
@@ -136,6 +138,27 @@ def test_suffix_array_dedup_equals_brute_force(spark, seed, window, gram, room):
     assert sorted(((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_op5_goes_by_bytes_not_words(spark, tmp_path):
+    """Passages of over 50 words in several documents: op4 removes them however short their words are, op5 from 400 bytes on and then
+    from the first document too. n_bytes is the length before."""
+    rng = random.Random(9)
+    text = lambda n, most: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, most))) for _ in range(n))
+    short, below, at, long = text(60, 8), text(120, 8)[:399], text(120, 8)[:400], text(60, 12)
+    passages = [short, below, at, long]
+    assert all(len(p.split()) > 50 for p in passages) and len(short) < len(below) < len(at) < len(long)
+    rows = [(10 * k + i, f"{text(30, 9)}\n{'<[('[i]}{p}{'>])'[i]}\n{text(30, 9)}") for k, p in enumerate(passages) for i in range(3)]
+    rows += [(90, text(200, 9)), (91, f"/{long}/ |{long}|"), (92, None), (93, "é" * 300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op5_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    want = {i: (n, gone, spans, sha256(kept).hexdigest()) for i, kept, n, gone, spans in suffix_dedup(rows, 400)}
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == want
+    assert {i: r.n_bytes for i, r in got.items()} == {i: len((t or "").encode()) for i, t in rows}
+    assert [got[10 * k + i].n_removed for k in range(4) for i in range(3)] == [0] * 6 + [400] * 3 + [len(long)] * 3
+    assert [got[i].n_removed for i in (90, 91, 92, 93)] == [0, 2 * len(long), 0, 600]
+    by_words = {r.doc_id: r.n_removed > 0 for r in QUERIES["op4_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert [by_words[10 * k + i] for k in range(3) for i in range(3)] == [False, True, True] * 3
+
+
 @pytest.mark.parametrize(("op", "module", "window"), [(sub.substring_dedup, sub, 12), (suf.suffix_array_dedup, suf, 60)])
 def test_every_removal_is_found_by_the_structure(spark, monkeypatch, op, module, window):
     """Without what trees or arrays report nothing goes, copies neither."""
