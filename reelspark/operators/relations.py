@@ -63,8 +63,8 @@ def cuts_of_sources(videos: DataFrame) -> DataFrame:
     return videos.where("asset_type = 'raw'").select("file_id").join(cuts, "file_id")
 
 
-def decorated(page: DataFrame, video_labels: DataFrame, labels: DataFrame, history: DataFrame) -> DataFrame:
-    """A page's rows with size and duration as text, labels, is_new, completeness and the last edit.
+def decorated(page: DataFrame, video_labels: DataFrame, labels: DataFrame, history: DataFrame, **units) -> DataFrame:
+    """A page's rows with size (in units as of bytes_text) and duration as text, labels, is_new, completeness and the last edit.
 
     The page is made first and written, so that its search and sort run once; side tables are reduced to its files
     before anything is aggregated. A page has 200 rows at most, so its ids may be broadcast."""
@@ -77,7 +77,7 @@ def decorated(page: DataFrame, video_labels: DataFrame, labels: DataFrame, histo
     mine, edited = video_labels.join(ids, "file_id", "left_semi"), history.join(ids, "file_id", "left_semi")
     edits = latest_edits(edited).select("file_id", F.col("user_email").alias("last_edit_by"), F.col("created_at").alias("last_edit_at"))
     rows = completeness(page, mine).join(label_map(page, mine, labels), "file_id").join(edits, "file_id", "left")
-    return rows.withColumns({"size_text": bytes_text(F.col("file_size")), "duration_text": duration_text(F.col("duration_seconds")), "is_new": is_blank(F.col("reviewed_at"))})
+    return rows.withColumns({"size_text": bytes_text(F.col("file_size"), **units), "duration_text": duration_text(F.col("duration_seconds")), "is_new": is_blank(F.col("reviewed_at"))})
 
 
 def detail(videos: DataFrame, file_id: str, video_labels: DataFrame, labels: DataFrame, terms: DataFrame, bridge: DataFrame, history: DataFrame) -> DataFrame:

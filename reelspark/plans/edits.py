@@ -132,7 +132,7 @@ query("cascade_delete_labels", lambda t: _deleted(t)["labels"].select("id", "nam
 query("labels_json", lambda t: relations.label_map(t.videos, t.video_labels, t.label_names).select("file_id", F.to_json("labels").alias("json")).select("file_id", "json", F.size(F.from_json("json", "array<string>")).alias("n")),
       "SELECT v.file_id, '[' || coalesce(string_agg('\"' || name || '\"', ',' ORDER BY name), '') || ']' AS json, CAST(count(name) AS INTEGER) AS n FROM videos v LEFT JOIN (SELECT file_id, name FROM video_labels JOIN label_names ON label_id = id) x ON x.file_id = v.file_id GROUP BY 1", "videos", "video_labels", "label_names")
 _PAGE = search.SearchRequest(sort_by="file_size", sort_dir="desc")
-query("page_texts", lambda t: relations.decorated(search.page_of(t.videos, _PAGE), t.video_labels, t.label_names, t.history).select("file_id", "size_text", "duration_text", "status"),
+query("page_texts", lambda t: relations.decorated(search.page_of(t.videos, _PAGE), t.video_labels, t.label_names, t.history, least="KB", largest="GB", null=None).select("file_id", "size_text", "duration_text", "status"),
       f""", p AS (SELECT *, {_DONE} AS completed, CAST(file_size AS DOUBLE) AS x, CAST(floor(duration_seconds) AS BIGINT) AS s FROM videos ORDER BY file_size DESC, file_name, file_id LIMIT 50)
       SELECT file_id, CASE WHEN x < 1048576 THEN format('{{:.1f}} KB', x / 1024) WHEN x < 1073741824 THEN format('{{:.1f}} MB', x / 1048576) ELSE format('{{:.1f}} GB', x / 1073741824) END AS size_text,
       CASE WHEN s IS NULL THEN '—' WHEN s >= 3600 THEN format('{{}}:{{:02d}}:{{:02d}}', s // 3600, s % 3600 // 60, s % 60) ELSE format('{{}}:{{:02d}}', s // 60, s % 60) END AS duration_text,

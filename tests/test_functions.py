@@ -14,6 +14,25 @@ def test_bytes(spark, n, want):
     assert spark.createDataFrame([(n,)], "n long").select(fmt.bytes_text(F.col("n")).alias("x")).first().x == want
 
 
+def test_sizes_keep_to_the_units_of_their_sql(spark, tmp_path):
+    """Empty texts, none, and texts of millions of characters, by the registered queries and by their SQL."""
+    import duckdb
+
+    import __spark_entry__ as e
+
+    sizes = [None, 0, 0, 1, 4095, 4096, 4097, 65536, 4194303, 4194304, 10737418, 10737419, 1 << 28, 1666630796019499, 2138142714137936]
+    rows = [(i + 1, "text", "en", f"src{i % 3}", n) for i, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, 3, "click", 0.5)], "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as con:
+        for t in ("documents", "labels", "events"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        for name in ("fmt_bytes", "page_texts"):
+            want = con.execute(e.oracle_sql()[name]).fetchall()
+            assert sorted(map(repr, map(tuple, e.queries()[name](spark, str(tmp_path)).collect()))) == sorted(map(repr, want)), name
+
+
 @pytest.mark.parametrize(("n", "want"), [(None, "—"), (0.0, "0:00"), (59.9, "0:59"), (1800.0, "30:00"), (3600.0, "1:00:00"), (7200.0, "2:00:00")])
 def test_durations(spark, n, want):
     assert spark.createDataFrame([(n,)], "n double").select(fmt.duration_text(F.col("n")).alias("x")).first().x == want
